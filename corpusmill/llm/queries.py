@@ -7,18 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bagminhash
+from corpusmill.llm import bagminhash, langid_ppm, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid_ppm.identify(docs, langid_ppm.learn(docs, ~langid_ppm.held_out(F.col("doc_id"))))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels"), ~langid_ppm.held_out(F.col("doc_id"))))
+
+
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ppm_langid": op3_ppm_langid,
+    "op4_toxicity": op4_toxicity,
     "op5_bagminhash": op5_bagminhash,
 }
 
