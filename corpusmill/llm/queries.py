@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bagminhash, langid_ppm, toxicity
+from corpusmill.llm import adaptive_quality, bagminhash, langid_ppm, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,54 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = adaptive_quality.judged(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ppm_langid": op3_ppm_langid,
     "op4_toxicity": op4_toxicity,
     "op5_bagminhash": op5_bagminhash,
+    "op7_adaptive_quality": op7_adaptive_quality,
 }
 
-ORACLES: dict[str, str] = {}
+_GAMMA = "(1.01::double / 0.99::double)"
+ORACLES: dict[str, str] = {
+    "op7_adaptive_quality": f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+t AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM t) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, d.lang, d.source, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l.l)::BIGINT AS n_lines,
+    (len(l.l) - len(list_distinct(l.l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN w USING (doc_id) JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id)),
+r AS (
+  SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
+    n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS word_length,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS (
+  SELECT lang, source, 'symbol_ratio' AS ratio, symbol_ratio AS v, 0.05 AS least FROM r WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'dup_line_ratio', dup_line_ratio, 0.1 FROM r WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'repeat_ratio', repeat_ratio, 0.1 FROM r WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'word_length', word_length, 2.0 FROM r WHERE NOT base_failed),
+h AS (
+  SELECT lang, source, ratio, least, CASE WHEN v <= 1e-4 THEN 0 ELSE ceil(ln(v / 1e-4::double) / ln({_GAMMA}))::INT END AS bucket, count(*) AS n
+  FROM v GROUP BY ALL),
+c AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS total,
+    CASE WHEN bucket = 0 THEN 0 ELSE 1e-4::double * 2 / ({_GAMMA} + 1) * pow({_GAMMA}, bucket) END AS value FROM h),
+q AS (
+  SELECT lang, source, ratio, least::double AS least, min(value) FILTER (upto >= total * 0.25) AS lo, min(value) FILTER (upto >= total * 0.75) AS hi
+  FROM c GROUP BY lang, source, ratio, least),
+f AS (SELECT lang, source, map_from_entries(list((ratio, hi + 6.0 * greatest(hi - lo, least)))) AS fence FROM q GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  reason IS NULL AS kept, reason
+FROM (SELECT r.*, CASE WHEN base_failed THEN 'base' WHEN symbol_ratio > fence['symbol_ratio'] THEN 'symbol_ratio' WHEN dup_line_ratio > fence['dup_line_ratio'] THEN 'dup_line_ratio'
+    WHEN repeat_ratio > fence['repeat_ratio'] THEN 'repeat_ratio' WHEN word_length > fence['word_length'] THEN 'word_length' END AS reason
+  FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source)""",
+}
