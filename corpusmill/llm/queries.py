@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import adaptive_quality, bagminhash, langid_ppm, toxicity
+from corpusmill.llm import adaptive_quality, bagminhash, chatmask, langid_ppm, licenses, toxicity, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +34,33 @@ def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason")
 
 
+def op8_chat_masks(spark: SparkSession, sf_dir: str, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json") -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
+    return chatmask.digests(chatmask.format_conversations(turns.unionByName(more), Path(tokenizer).read_text()))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
+#: The rules that the query judges by. Fixed values.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ppm_langid": op3_ppm_langid,
     "op4_toxicity": op4_toxicity,
     "op5_bagminhash": op5_bagminhash,
     "op7_adaptive_quality": op7_adaptive_quality,
+    "op8_chat_masks": op8_chat_masks,
+    "op9_licenses": op9_licenses,
+    "op10_url_rules": op10_url_rules,
 }
 
 _GAMMA = "(1.01::double / 0.99::double)"
@@ -78,4 +101,71 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT r.*, CASE WHEN base_failed THEN 'base' WHEN symbol_ratio > fence['symbol_ratio'] THEN 'symbol_ratio' WHEN dup_line_ratio > fence['dup_line_ratio'] THEN 'dup_line_ratio'
     WHEN repeat_ratio > fence['repeat_ratio'] THEN 'repeat_ratio' WHEN word_length > fence['word_length'] THEN 'word_length' END AS reason
   FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source)""",
+    "op8_chat_masks": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, 17 + length(role) + length(text) + length(text) - length(replace(text, chr(92), '')) + list_sum(list_transform(
+    ['<|turn|>', '<|end|>', '</s>', '<s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<|im_start|>', '<|im_end|>', '<|endoftext|>'],
+    lambda m: (length(text) - length(replace(text, m, ''))) // length(m))) - 1 AS chars FROM t)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
+    "op9_licenses": """
+WITH phrases(label, base, words) AS (VALUES
+  ('gpl', true, 'gnu general public license'), ('apache', true, 'apache license'), ('cc-by', true, 'cc by'), ('mit', true, 'mit license'),
+  ('gpl-3.0', false, 'licensed under the gnu general public license version 3'),
+  ('gpl-3.0', false, 'licensed under the gnu general public license as published by the free software foundation version 3'),
+  ('gpl-2.0', false, 'licensed under the gnu general public license version 2'),
+  ('gpl-2.0', false, 'licensed under the gnu general public license as published by the free software foundation version 2'),
+  ('apache-2.0', false, 'licensed under the apache license version 2 0'),
+  ('cc-by-4.0', false, 'licensed under cc by 4 0'), ('cc-by-4.0', false, 'licensed under a cc by 4 0'),
+  ('cc-by-4.0', false, 'licensed under creative commons cc by 4 0'), ('cc-by-4.0', false, 'licensed under a creative commons cc by 4 0'),
+  ('cc-by-nc-4.0', false, 'licensed under cc by nc 4 0'), ('cc-by-nc-4.0', false, 'licensed under a cc by nc 4 0'),
+  ('cc-by-nc-4.0', false, 'licensed under creative commons cc by nc 4 0'), ('cc-by-nc-4.0', false, 'licensed under a creative commons cc by nc 4 0'),
+  ('cc-by-sa-4.0', false, 'licensed under cc by sa 4 0'), ('cc-by-sa-4.0', false, 'licensed under a cc by sa 4 0'),
+  ('cc-by-sa-4.0', false, 'licensed under creative commons cc by sa 4 0'), ('cc-by-sa-4.0', false, 'licensed under a creative commons cc by sa 4 0'),
+  ('mit-notice', false, 'released under the mit license'),
+  ('copyright-mit', false, 'copyright * released under the mit license'), ('copyright-mit', false, 'copyright * * released under the mit license'),
+  ('copyright-mit', false, 'copyright * * * released under the mit license'), ('copyright-mit', false, 'copyright * * * * released under the mit license'),
+  ('copyright-mit', false, 'copyright * * * * * released under the mit license'), ('copyright-mit', false, 'copyright * * * * * * released under the mit license'),
+  ('copyright-mit', false, 'copyright c * * * * * * released under the mit license'),
+  ('spdx', false, 'spdx license identifier * * * *'), ('spdx', false, 'spdx license identifier * * *'), ('spdx', false, 'spdx license identifier * *'), ('spdx', false, 'spdx license identifier *'),
+  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * to deal in the software without restriction'),
+  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * to deal in the software without restriction'),
+  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * * to deal in the software without restriction'),
+  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * * * to deal in the software without restriction'),
+  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * * * * to deal in the software without restriction'),
+  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * * * * * to deal in the software without restriction'),
+  ('bsd-text', false, 'redistribution and use in source and binary forms with or without modification are permitted')),
+p AS (SELECT label, base, string_split(words, ' ') AS words, string_split(words, ' ')[1] AS first FROM phrases),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+s AS (SELECT doc_id, i, w[i] AS first, w[i:i + 31] AS tail FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+m AS (
+  SELECT doc_id, label, base, i - 1 AS start, max(len(p.words)) AS n FROM s JOIN p USING (first)
+  WHERE len(tail) >= len(p.words) AND list_bool_and(list_transform(p.words, lambda x, j: x = '*' OR x = tail[j])) GROUP BY ALL),
+c AS (SELECT doc_id, count(DISTINCT start + j) AS n FROM (SELECT doc_id, start, unnest(range(0, n)) AS j FROM m) GROUP BY doc_id),
+a AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
+  FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(c.n, 0) / greatest(len(w), 1), 6) AS score
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op10_url_rules": """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule_host, rule_path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+b AS (
+  SELECT page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(verdict, length(rule_host || rule_path)) AS verdict
+  FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN b USING (page_id)""",
 }
