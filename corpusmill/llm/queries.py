@@ -8,13 +8,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import adaptive_quality, bagminhash, chatmask, langid_ppm, licenses, toxicity, urlrules
+from corpusmill.llm import adaptive_quality, bagminhash, chatmask, contamination, langid_ppm, licenses, toxicity, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid_ppm.identify(docs, langid_ppm.learn(docs, ~langid_ppm.held_out(F.col("doc_id"))))
@@ -54,6 +58,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_ppm_langid": op3_ppm_langid,
     "op4_toxicity": op4_toxicity,
     "op5_bagminhash": op5_bagminhash,
