@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import adaptive_quality, bagminhash, chatmask, contamination, langid_ppm, licenses, toxicity, urlrules
+from corpusmill.llm import adaptive_quality, bagminhash, chatmask, contamination, langid_ppm, licenses, passages, toxicity, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = adaptive_quality.judged(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ppm_langid": op3_ppm_langid,
     "op4_toxicity": op4_toxicity,
     "op5_bagminhash": op5_bagminhash,
+    "op6_passages": op6_passages,
     "op7_adaptive_quality": op7_adaptive_quality,
     "op8_chat_masks": op8_chat_masks,
     "op9_licenses": op9_licenses,
