@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import adaptive_quality, bagminhash, chatmask, contamination, langid_ppm, licenses, passages, toxicity, urlrules
+from corpusmill.llm import adaptive_quality, bagminhash, chatmask, contamination, langid_ppm, licenses, mixing, passages, toxicity, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weighted(_table(spark, sf_dir, "documents"))
+
+
 def op3_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid_ppm.identify(docs, langid_ppm.learn(docs, ~langid_ppm.held_out(F.col("doc_id"))))
@@ -63,6 +67,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_mixing": op2_mixing,
     "op3_ppm_langid": op3_ppm_langid,
     "op4_toxicity": op4_toxicity,
     "op5_bagminhash": op5_bagminhash,
