@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from corpusmill.plans import curation
+
+_MODULES = (curation,)
+
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
