@@ -9,13 +9,13 @@ probability of their weighted Jaccard similarity, exactly, as the discretised we
 the counts themselves. Only points before a horizon are made; it doubles until every slot
 is filled.
 
-Slots are banded; documents that share a band key are candidates. Candidates are verified
-by the overlap of the whole multisets. In a bucket every waiting document is compared with
-the bucket's smallest waiting one (its hub), not with all others. A document at 0.8 or more
-is linked to the hub. One below stays for the next hub; and as 1 - similarity is a metric, it
-can match a document linked to the hub only where the two similarities to the hub differ by
-at most 1 - threshold, so those pairs, and only those, are compared as well, unless their
-classes have met by then. No link between classes is lost within a bucket.
+Slots are banded; documents that share a band key are candidates, and candidates are verified
+by the overlap of the whole multisets. A bucket's members are compared with its hub, the member
+with the most neighbours, not with each other: two that reach the threshold with the hub are one
+class. Pairs with a member below it are compared too, unless one of three facts settles them:
+they are in one class by now; their similarities to the hub differ by more than 1 - threshold (1 -
+similarity is a metric); or so many shingles of one occur in no other candidate that the overlap can't
+suffice. These are necessary conditions, so no link between two classes is lost.
 
 Defined cases: documents whose words are the same sequence are one class, whatever the white
 space; a text of one to four words is one shingle, so it matches its exact copies only; a text
@@ -172,32 +172,84 @@ def _bags(cfg: NearDupConfig):
     return run
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted multisets of shingles."""
-    if len(a) + len(b) == 0:
-        return 0.0
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of shingles that two multisets share, copies counted."""
     ua, ca = np.unique(a, return_counts=True)
     at = np.searchsorted(ua, b)
     hit = (at < len(ua)) & (ua[np.minimum(at, len(ua) - 1)] == b) if len(ua) else np.zeros(len(b), bool)
-    common = int(np.minimum(np.bincount(at[hit], minlength=len(ua)), ca).sum()) if len(ua) else 0
-    return common / (len(a) + len(b) - common)
+    return int(np.minimum(np.bincount(at[hit], minlength=len(ua)), ca).sum()) if len(ua) else 0
 
 
-VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+DISTINCT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's distinct shingles with their counts."""
+    for batch in batches:
+        bag = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("bag")), np.uint64)
+        size = np.array([len(x.as_buffer()) // 8 for x in batch.column("bag")], np.int64)
+        value, count, doc = runs(bag, np.concatenate([[0], np.cumsum(size)]))
+        yield K.batch_of(DISTINCT, value.view(np.int64), batch.column("doc_id").to_numpy()[doc], count.astype(np.int64))
+
+
+VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("sim", pa.float64())])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column("bag_a"), batch.column("bag_b")
-        sims = [overlap(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(batch.num_rows)]
-        yield K.batch_of(VERIFIED, batch.column("a"), batch.column("b"), sims)
+        bags = [(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(batch.num_rows)]
+        both = np.array([overlap(a, b) for a, b in bags], np.int64)
+        either = np.array([len(a) + len(b) for a, b in bags], np.int64) - both
+        yield K.batch_of(VERIFIED, batch.column("a"), batch.column("b"), both, both / np.maximum(either, 1))
 
 
 def _sims(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """Pairs (a, b) with their exact similarity."""
     got = pairs.join(bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b")
     got = got.join(bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a")
-    return written(got.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long, sim double"), "sims")
+    return written(got.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long, both long, sim double"), "sims")
+
+
+def _classes(base: DataFrame, member: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(node, root) of documents linked by verified similarity, from the members (bucket, doc_id, size) of band buckets."""
+    t = cfg.threshold
+    # a bucket's hub is its member with the most neighbours over all its buckets: the least edited copy
+    central = member.groupBy("doc_id").agg(F.sum("size").alias("near"))
+    hubs = member.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("near", -F.col("doc_id"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("a"))
+    stars = written(member.join(hubs, "bucket").select("bucket", "a", F.col("doc_id").alias("b")), "stars")
+    bags = written(base.join(member.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_bags(cfg), "doc_id long, bag binary"), "bags")
+    sims = _sims(stars.filter("a <> b").select("a", "b").distinct(), bags)
+    links = sims.filter(F.col("sim") >= t).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    merged = components(links)
+
+    # pairs that no hub has settled: another class, and no bound that forbids the similarity
+    own = bags.mapInArrow(_distinct, "key long, doc_id long, n long")
+    alone = own.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).filter("lo = hi")
+    alone = alone.groupBy(F.col("lo").alias("doc_id")).agg(F.sum("n").alias("alone"))
+    facts = bags.select("doc_id", (F.length("bag") / 8).alias("n")).join(alone, "doc_id", "left").join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    facts = facts.select(F.col("doc_id").alias("b"), "n", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("root", "doc_id").alias("class"))
+    placed = stars.join(sims, ["a", "b"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0))).join(facts, "b")
+    # J >= t needs an overlap of t / (1 + t) of both sizes; a document's overlap with another is made of shingles
+    # that it has in common with the hub, and of others that occur in a second document at all
+    placed = placed.withColumn("both", F.coalesce("both", "n")).withColumn("other", F.greatest(F.col("n") - F.col("both") - F.col("alone"), F.lit(0)))
+    placed = written(placed.withColumn("reach", (1 + t) / t * (F.col("both") + F.col("other")) - F.col("n") + 1e-6), "placed")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("b", "n", "both", "other", "reach", "class", "sim")]
+    least = placed.groupBy("bucket").agg(F.min("n").alias("least"), F.count_distinct("class").alias("kinds")).filter("kinds > 1").select("bucket", "least")
+    waiting = placed.filter(F.col("sim") < t).join(least, "bucket").filter(F.col("reach") >= F.col("least")).select("bucket", *side("x"))
+    # 1 - J is a metric, so similarities to the hub differ by 1 - t at most
+    fits = (
+        (F.col("b_x") != F.col("b_y"))
+        & (F.col("class_x") != F.col("class_y"))
+        & (F.least("both_x", "both_y") + F.least("other_x", "other_y") >= t / (1 + t) * (F.col("n_x") + F.col("n_y")) - 1e-6)
+        & (F.abs(F.col("sim_x") - F.col("sim_y")) <= 1 - t + 1e-9)
+    )
+    rest = waiting.join(placed.select(F.col("bucket").alias("bucket_y"), *side("y")), (F.col("bucket") == F.col("bucket_y")) & fits)
+    rest = written(rest.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct(), "rest")
+    if rest.isEmpty():
+        return merged
+    late = _sims(rest, bags).filter(F.col("sim") >= t).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return components(merged.select(F.col("node").alias("u"), F.col("root").alias("v")).union(late))
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
@@ -212,45 +264,16 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     reps = worded.groupBy("e1", "e2").agg(F.min("doc_id").alias("copy_of"))
     heads = worded.join(reps.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.first("bands").alias("bands"))
     keyed = heads.select("doc_id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "doc_id")
-    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    waiting = written(keyed.join(shared, "bucket"), "waiting")
-    ids = waiting.select("doc_id").distinct()
-    bags = written(base.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_bags(cfg), "doc_id long, bag binary"), "bags")
-
-    links = None
-    compared = None
-    slack = 1 - cfg.threshold + 1e-12
-    while not waiting.isEmpty():
-        hubs = waiting.groupBy("bucket").agg(F.min("doc_id").alias("a"))
-        stars = waiting.join(hubs, "bucket").filter("doc_id <> a").select("bucket", "a", F.col("doc_id").alias("b"))
-        stars = written(stars, "stars")
-        sims = _sims(stars.select("a", "b").distinct(), bags)
-        near = sims.filter(F.col("sim") >= cfg.threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = near if links is None else links.union(near)
-        scored = written(stars.join(sims, ["a", "b"]), "scored")
-        tied = scored.select("bucket", "a", "b", "sim")
-        compared = tied if compared is None else compared.union(tied)
-        waiting = written(scored.filter(F.col("sim") < cfg.threshold).select("bucket", F.col("b").alias("doc_id")), "waiting")
-    if links is None:
-        merged = None
-    else:
-        merged = components(links)
-        # what a hub left open: one document linked to it, one not, and neither bound nor class says no
-        root = lambda c: F.coalesce(F.col(f"{c}r.root"), F.col(c))
-        far = compared.filter((F.col("sim") < cfg.threshold) & (F.col("sim") >= cfg.threshold - slack))
-        close = compared.filter(F.col("sim") >= cfg.threshold)
-        far = far.select("bucket", "a", F.col("b").alias("x"), F.col("sim").alias("sx")).join(merged.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").withColumn("rx", F.coalesce("rx", "x"))
-        hub = merged.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        far = written(far.join(hub, "a", "left").filter("rx <> coalesce(ra, a)"), "far")
-        if not far.isEmpty():
-            near = close.select("bucket", "a", F.col("b").alias("y"), F.col("sim").alias("sy"))
-            open_pairs = far.join(near, ["bucket", "a"]).filter(F.col("sy") - F.col("sx") <= slack).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-            sims = _sims(open_pairs, bags)
-            links = links.union(sims.filter(F.col("sim") >= cfg.threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
-            merged = components(links)
+    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    member = written(keyed.join(shared, "bucket"), "members")
+    merged = _classes(base, member, cfg)
     copied = signed.join(reps, ["e1", "e2"], "left").withColumn("copy_of", F.when((F.col("n_words") > 0) & F.col("doc_id").isNotNull(), F.col("copy_of")).otherwise(F.col("doc_id")))
-    if merged is not None:
-        copied = copied.join(merged.select(F.col("node").alias("copy_of"), F.col("root").alias("class_id")), "copy_of", "left")
-    else:
-        copied = copied.withColumn("class_id", F.lit(None).cast("long"))
+    copied = copied.join(merged.select(F.col("node").alias("copy_of"), F.col("root").alias("class_id")), "copy_of", "left")
     return copied.select("doc_id", "n_words", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class, one for each doc_id; all rows without a doc_id."""
+    heads = near_duplicates(docs, cfg).filter("doc_id = class_id").select("doc_id").distinct()
+    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
