@@ -239,7 +239,7 @@ def _classes(base: DataFrame, member: DataFrame, cfg: NearDupConfig) -> DataFram
     waiting = placed.filter(F.col("sim") < t).join(least, "bucket").filter(F.col("reach") >= F.col("least")).select("bucket", *side("x"))
     # 1 - J is a metric, so similarities to the hub differ by 1 - t at most
     fits = (
-        (F.col("b_x") != F.col("b_y"))
+        ((F.col("sim_y") >= t) | (F.col("b_x") < F.col("b_y")))  # of two that wait, once
         & (F.col("class_x") != F.col("class_y"))
         & (F.least("both_x", "both_y") + F.least("other_x", "other_y") >= t / (1 + t) * (F.col("n_x") + F.col("n_y")) - 1e-6)
         & (F.abs(F.col("sim_x") - F.col("sim_y")) <= 1 - t + 1e-9)
