@@ -23,7 +23,11 @@ CONNECTORS = {
     "contrast": ("however", "but", "although", "though", "nevertheless", "yet", "instead"),
     "sequence": ("first", "second", "third", "next", "then", "finally", "last"),
 }
-ROLE_ALIASES = {"system": "system", "user": "user", "human": "user", "prompter": "user", "assistant": "assistant", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+ROLE_ALIASES = (
+    dict.fromkeys(("system", "developer"), "system")
+    | dict.fromkeys(("user", "human", "question", "instruction", "prompt", "problem", "query", "input"), "user")
+    | dict.fromkeys(("assistant", "gpt", "ai", "answer", "response", "output", "completion"), "assistant")
+)
 
 
 def low_trimmed(t: Column) -> Column:
