@@ -157,6 +157,8 @@ def _leaks_of(docs: DataFrame, items: Items, cfg: LeakConfig) -> DataFrame:
             at, key = sieve.find(g)
             inside = doc[at] == doc[at + cfg.n - 1]
             at, key = at[inside], key[inside]
+            if not len(at):
+                continue
             times = (last - own.first)[key]  # an n-gram may stand in several items
             row = np.repeat(own.first[key], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             at = np.repeat(at, times)
