@@ -234,7 +234,9 @@ def _classes(base: DataFrame, member: DataFrame, cfg: NearDupConfig) -> DataFram
     # that it has in common with the hub, and of others that occur in a second document at all
     placed = placed.withColumn("both", F.coalesce("both", "n")).withColumn("other", F.greatest(F.col("n") - F.col("both") - F.col("alone"), F.lit(0)))
     placed = written(placed.withColumn("reach", (1 + t) / t * (F.col("both") + F.col("other")) - F.col("n") + 1e-6), "placed")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("b", "n", "both", "other", "reach", "class", "sim")]
+    # a pair that shares several buckets leaves the join in the smallest of them only
+    placed = placed.join(placed.groupBy("b").agg(F.array_sort(F.collect_set("bucket")).alias("own")), "b")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("b", "n", "both", "other", "reach", "class", "sim", "own")]
     least = placed.groupBy("bucket").agg(F.min("n").alias("least"), F.count_distinct("class").alias("kinds")).filter("kinds > 1").select("bucket", "least")
     waiting = placed.filter(F.col("sim") < t).join(least, "bucket").filter(F.col("reach") >= F.col("least")).select("bucket", *side("x"))
     # 1 - J is a metric, so similarities to the hub differ by 1 - t at most
@@ -243,6 +245,7 @@ def _classes(base: DataFrame, member: DataFrame, cfg: NearDupConfig) -> DataFram
         & (F.col("class_x") != F.col("class_y"))
         & (F.least("both_x", "both_y") + F.least("other_x", "other_y") >= t / (1 + t) * (F.col("n_x") + F.col("n_y")) - 1e-6)
         & (F.abs(F.col("sim_x") - F.col("sim_y")) <= 1 - t + 1e-9)
+        & (F.array_min(F.array_intersect("own_x", "own_y")) == F.col("bucket"))
     )
     rest = waiting.join(placed.select(F.col("bucket").alias("bucket_y"), *side("y")), (F.col("bucket") == F.col("bucket_y")) & fits)
     rest = written(rest.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct(), "rest")
