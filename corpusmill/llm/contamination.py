@@ -2,9 +2,9 @@
 
 Words are lower-cased runs of digits, letters and non-ASCII characters. The n-grams of test items are
 looked up in all documents twice. The first scan counts the documents that hold each n-gram. An
-item's seeds are its rare n-grams: those in no more documents than ``rare`` times the item's median
-n-gram, or in no more than ``few`` documents. Rarity is relative to the item, so an item that leaked
-into a third of the corpus keeps its seeds, while phrases that are common beside it drop out. The second scan
+item's seeds are its rare n-grams: those in no more documents than ``rare`` times the median of the item's n-grams
+that occur, or in no more than ``few`` documents. Rarity is relative to the item, so an item that leaked
+into a third of the corpus keeps its seeds, edited or in part, while phrases that are common beside it drop out. The second scan
 joins passages to items by seeds; hits of one item that lie within its length of each other make a window, and the
 window is aligned with the item by Smith-Waterman over words. The score is the best local alignment
 (1 for an equal word, less ``penalty`` for a differing, missing or added one) over the item's
@@ -143,8 +143,8 @@ def _leaks_of(docs: DataFrame, items: Items, cfg: LeakConfig) -> DataFrame:
     held = _document_counts(docs, items, cfg.n)
     per_row = held[np.searchsorted(items.keys, items.gram)]
     middle = np.zeros(len(items.words))
-    for i in np.unique(items.item):
-        middle[i] = np.median(per_row[items.item == i])
+    for i in np.unique(items.item[per_row > 0]):
+        middle[i] = np.median(per_row[(items.item == i) & (per_row > 0)])
     items.keep((per_row <= cfg.rare * middle[items.item]) | (per_row <= cfg.few))
     shared = docs.sparkSession.sparkContext.broadcast(items)
 

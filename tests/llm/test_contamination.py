@@ -67,6 +67,17 @@ def test_an_item_that_leaked_everywhere_keeps_its_seeds(spark):
     assert {r.doc_id for r in got.collect()} == {i for i in range(150) if i % 3}
 
 
+def test_edited_and_partial_leaks_in_many_documents_keep_their_seeds(spark):
+    rng = random.Random(4)
+    edited, part = [[f"{c}{i}" for i in range(40)] for c in "ab"]
+    copy = [f"other{i}" if i % 4 == 3 else w for i, w in enumerate(edited)]
+    noise = lambda: [f"x{rng.randrange(10**6)}" for _ in range(20)]
+    docs = [(i, " ".join(noise() + (copy if i % 2 else part[:18]) + noise())) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in C.leaks(frame, spark.createDataFrame([(0, " ".join(part)), (1, " ".join(edited))], "item_id long, text string")).collect()}
+    assert got == {(i, i % 2) for i in range(200)}
+
+
 def test_alignment_matches_the_plain_one():
     rng = random.Random(3)
     for _ in range(50):
