@@ -9,8 +9,8 @@ document is sampled where a hash of its doc_id, uniform in [0, 1), is below its
 sample is the same in every run and grows with the budget.
 
 By default a margin's target is its actual share to the power ``flatten``, normalised: rare values gain. A topic is a
-cluster of documents: k-means over hashed word counts, learnt on a bounded hash sample
-(``topic_rows`` documents) and given to every document; any column can stand for it instead.
+cluster of documents: k-means over hashed word counts of all documents, in at most ``topic_rounds`` rounds; a round's
+sums are of whole numbers, so they don't depend on the partitions. Any column can stand for the topic instead.
 
 Cells are counted by one aggregation. Up to ``driver_cells`` cells are raked on the driver; beyond that by DataFrame
 steps, an aggregation and a join per margin, with the cells written between rounds.
@@ -43,8 +43,7 @@ class MixConfig:
     tolerance: float = 1e-6
     rounds: int = 200
     topics: int = 6
-    topic_rows: int = 2000
-    topic_bytes: int = 65536
+    topic_rounds: int = 25
     dimensions: int = 128
     driver_cells: int = 200_000
 
@@ -61,27 +60,83 @@ def word_profile(buf: np.ndarray, off: np.ndarray, dimensions: int) -> tuple[np.
     return profile / np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-12), w.count
 
 
+def _profiles(docs: DataFrame, cfg: MixConfig) -> DataFrame:
+    """(mark, profile) of every document with words: a hash of its text, and its profile in whole steps, so that sums are exact."""
+    schema = pa.schema([("mark", pa.int64()), ("profile", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, off in K.blocks(batches, lower=True):
+            profile, words = word_profile(buf, off, cfg.dimensions)
+            some = words > 0
+            steps = np.round(profile[some] * 32768).astype(np.uint16)
+            yield K.batch_of(schema, batch.column("mark").filter(pa.array(some)), [row.tobytes() for row in steps])
+
+    return docs.select(F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "mark long, profile binary")
+
+
+def _steps(batch: pa.RecordBatch, cfg: MixConfig) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("profile").to_pylist()), np.uint16).reshape(-1, cfg.dimensions).astype(np.int64)
+
+
+def _farthest(profiles: DataFrame, centres: np.ndarray, cfg: MixConfig) -> np.ndarray:
+    """The profile least like any centre; of equals, the one of the smallest mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            if batch.num_rows:
+                near = np.round((_steps(batch, cfg) / 32768 @ centres.T).max(axis=1), 9)
+                mark = batch.column("mark").to_numpy()
+                i = int(np.lexsort((mark, near))[0])
+                here = (float(near[i]), int(mark[i]), batch.column("profile")[i].as_py())
+                best = here if best is None else min(best, here)
+        if best is not None:
+            yield pa.RecordBatch.from_pydict({"near": [best[0]], "mark": [best[1]], "profile": pa.array([best[2]], pa.binary())})
+
+    rows = profiles.mapInArrow(run, "near double, mark long, profile binary")
+    return np.frombuffer(rows.agg(F.min(F.struct("near", "mark", "profile")).alias("m")).first().m.profile, np.uint16) / 32768
+
+
+def _sums(profiles: DataFrame, centres: np.ndarray, cfg: MixConfig) -> np.ndarray:
+    """For each centre, the sum of the profiles nearest to it, and in a last column their number."""
+    wide = cfg.dimensions + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(centres), wide), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = _steps(batch, cfg)
+                own = np.round(x / 32768 @ centres.T, 9).argmax(axis=1)
+                for k in range(len(centres)):
+                    total[k, :-1] += x[own == k].sum(axis=0)
+                    total[k, -1] += int((own == k).sum())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": at.astype(np.int32), "n": total.reshape(-1)[at]})
+
+    out = np.zeros(len(centres) * wide, np.int64)
+    for r in profiles.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r.slot] = r.n
+    return out.reshape(-1, wide)
+
+
 def learn_topics(docs: DataFrame, cfg: MixConfig = MixConfig()) -> np.ndarray:
-    """Centres of a spherical k-means over a bounded sample, most common topic first."""
+    """Centres of a spherical k-means over all documents with words, most common topic first."""
     arrow_ready(docs.sparkSession)
-    n = docs.count()
-    if not n:
+    profiles = written(_profiles(docs, cfg), "profiles")
+    if profiles.isEmpty():
         return np.zeros((1, cfg.dimensions))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("topic")), F.lit(1 << 30))
-    rows = docs.filter(F.col("text").isNotNull() & (draw < int(min(1.0, cfg.topic_rows / n) * (1 << 30))) & (F.octet_length("text") <= cfg.topic_bytes))
-    texts = [r[1] for r in sorted(rows.select(draw.alias("d"), F.lower("text")).limit(2 * cfg.topic_rows).collect())]
-    if not texts:
-        return np.zeros((1, cfg.dimensions))
-    x = word_profile(*K.string_buffers(pa.array(texts, pa.large_string())), cfg.dimensions)[0]
-    # the first centre is the first text, each next one the text farthest from all centres
-    centres = x[:1]
-    while len(centres) < min(cfg.topics, len(x)):
-        centres = np.vstack([centres, x[(x @ centres.T).max(axis=1).argmin()]])
-    for _ in range(25):
-        own = (x @ centres.T).argmax(axis=1)
-        centres = np.vstack([x[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    size = np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres))
+    # the first centre is the text of the smallest mark, each next one the text farthest from all centres
+    centres = _farthest(profiles, np.zeros((1, cfg.dimensions)), cfg)[None]
+    while len(centres) < cfg.topics:
+        centres = np.vstack([centres, _farthest(profiles, centres, cfg)])
+    for _ in range(cfg.topic_rounds):
+        sums = _sums(profiles, centres, cfg)
+        new = np.where(sums[:, -1:] > 0, sums[:, :-1], centres)
+        new = new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    size = _sums(profiles, centres, cfg)[:, -1]
     return centres[np.argsort(-size, kind="stable")]
 
 

@@ -66,6 +66,19 @@ def test_sampling_follows_probabilities_and_keeps_rows_whole(spark):
     assert all(r.text == rows[r.doc_id][1] for r in kept)
 
 
+def test_topics_are_learnt_from_all_documents(spark):
+    rng = random.Random(4)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    short, long = [f"sun{i}" for i in range(20)], [f"moon{i}" for i in range(20)]
+    rows = [(i, text(short, 40)) for i in range(60)] + [(100 + i, text(long, 12000)) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, "x", "en") for i, t in rows], "doc_id long, text string, source string, lang string")
+    cfg = M.MixConfig(topics=2)
+    centres = M.learn_topics(docs, cfg)
+    topics = {r.doc_id: r.topic for r in M.with_topics(docs, centres).collect()}
+    assert {topics[i] for i in range(60)} == {0} and {topics[100 + i] for i in range(3)} == {1}
+    assert np.array_equal(centres, M.learn_topics(docs.repartition(7, "text"), cfg))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     assert M.weighted(docs).count() == 0 and M.sample(docs).count() == 0
