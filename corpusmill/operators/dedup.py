@@ -8,22 +8,12 @@ earlier neighbours are all gone stays, and so on until none is open.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing as H
 from corpusmill.functions import text as T
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{shared.rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from corpusmill.operators.store import written
 
 
 def signed(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
