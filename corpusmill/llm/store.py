@@ -1,32 +1,24 @@
 """Intermediate tables that survive lost executors.
 
 Iterative operators cut their lineage by writing Parquet to the folder that the
-cluster shares (``spark.checkpoint.dir``) and reading it back. Where that setting
-is absent (unit tests, one machine) a folder under the warehouse is used.
+cluster shares (``spark.checkpoint.dir``) and reading it back.
 """
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from corpusmill.operators.store import written  # noqa: F401
 
 #: Rows per Arrow batch; Spark's default of 10,000 whole documents would be too large a block.
 ARROW_ROWS = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
 
 
 def arrow_ready(spark: SparkSession) -> None:
