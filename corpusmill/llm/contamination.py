@@ -15,7 +15,8 @@ broadcast, and every block sees every document. The scans shuffle counts of the
 
 Defined cases: an item of fewer than ``n`` words has no seed and matches nothing; null and empty texts match
 nothing; several matching windows of an item in a document give the best one, the first of equals;
-repeated documents or items are reported each; an empty table gives no rows. Extra columns are ignored.
+repeated documents or items are reported each, those without an id with a null one; an empty table gives no rows. Extra columns
+are ignored by ``leaks`` and kept by ``without_leaks``.
 """
 
 from __future__ import annotations
@@ -139,80 +140,111 @@ def _document_counts(docs: DataFrame, items: Items, n: int) -> np.ndarray:
     return found
 
 
-def _leaks_of(docs: DataFrame, items: Items, cfg: LeakConfig) -> DataFrame:
-    held = _document_counts(docs, items, cfg.n)
-    per_row = held[np.searchsorted(items.keys, items.gram)]
-    middle = np.zeros(len(items.words))
-    for i in np.unique(items.item[per_row > 0]):
-        middle[i] = np.median(per_row[(items.item == i) & (per_row > 0)])
-    items.keep((per_row <= cfg.rare * middle[items.item]) | (per_row <= cfg.few))
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+class Finder:
+    """Finds the items of a block in blocks of text; ``held`` tells in how many documents each of their n-grams stands."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+    def __init__(self, items: Items, held: np.ndarray, cfg: LeakConfig):
+        self.items, self.cfg = items, cfg
+        per_row = held[np.searchsorted(items.keys, items.gram)]
+        middle = np.zeros(len(items.words))
+        for i in np.unique(items.item[per_row > 0]):
+            middle[i] = np.median(per_row[(items.item == i) & (per_row > 0)])
+        items.keep((per_row <= cfg.rare * middle[items.item]) | (per_row <= cfg.few))
+
+    def find(self, buf: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """(score, start, end) of the best window of each (document, item) that reaches the threshold."""
+        own, cfg = self.items, self.cfg
         sieve = Sieve(own.keys)
         last = np.append(own.first[1:], len(own.gram))
-        for batch, buf, off in K.blocks(batches, lower=True):
-            w, h, g, doc = _words_and_grams(buf, off, cfg.n)
-            at, key = sieve.find(g)
-            inside = doc[at] == doc[at + cfg.n - 1]
-            at, key = at[inside], key[inside]
-            if not len(at):
+        w, h, g, doc = _words_and_grams(buf, off, cfg.n)
+        at, key = sieve.find(g)
+        inside = doc[at] == doc[at + cfg.n - 1]
+        at, key = at[inside], key[inside]
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        if not len(at):
+            return best
+        times = (last - own.first)[key]  # an n-gram may stand in several items
+        row = np.repeat(own.first[key], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        at = np.repeat(at, times)
+        item = own.item[row]
+        origin = at - own.place[row]  # where the item would begin
+        order = np.lexsort((origin, item, doc[at]))
+        at, item, origin = at[order], item[order], origin[order]
+        size = np.array([len(x) for x in own.words], np.int64)[item]
+        new = np.ones(len(at), bool)
+        new[1:] = (doc[at[1:]] != doc[at[:-1]]) | (item[1:] != item[:-1]) | (origin[1:] - origin[:-1] > size[1:])
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(at))
+        for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
+            d, i = int(doc[at[a]]), int(item[a])
+            words = own.words[i]
+            slack = len(words) // 2
+            lo = max(int(w.off[d]), int(origin[a]) - slack)
+            hi = min(int(w.off[d + 1]), int(origin[b - 1]) + len(words) + slack)
+            window = h[lo:hi]
+            if np.isin(words, window).sum() < cfg.threshold * len(words):  # no alignment can reach it
                 continue
-            times = (last - own.first)[key]  # an n-gram may stand in several items
-            row = np.repeat(own.first[key], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            at = np.repeat(at, times)
-            item = own.item[row]
-            origin = at - own.place[row]  # where the item would begin
-            order = np.lexsort((origin, item, doc[at]))
-            at, item, origin = at[order], item[order], origin[order]
-            size = np.array([len(x) for x in own.words], np.int64)[item]
-            new = np.ones(len(at), bool)
-            new[1:] = (doc[at[1:]] != doc[at[:-1]]) | (item[1:] != item[:-1]) | (origin[1:] - origin[:-1] > size[1:])
-            heads = np.flatnonzero(new)
-            tails = np.append(heads[1:], len(at))
-            best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
-                d, i = int(doc[at[a]]), int(item[a])
-                words = own.words[i]
-                slack = len(words) // 2
-                lo = max(int(w.off[d]), int(origin[a]) - slack)
-                hi = min(int(w.off[d + 1]), int(origin[b - 1]) + len(words) + slack)
-                window = h[lo:hi]
-                if np.isin(words, window).sum() < cfg.threshold * len(words):  # no alignment can reach it
-                    continue
-                value, end = align(words, window, cfg.penalty)
-                score = round(value / len(words), 6)
-                if score >= cfg.threshold and score > best.get((d, i), (0,))[0]:
-                    back, begin = align(words[::-1], window[:end][::-1], cfg.penalty)
-                    best[d, i] = (score, lo + end - begin - int(w.off[d]), lo + end - int(w.off[d]))
-            if best:
-                ids = batch.column("doc_id")
-                rows = [(ids[d].as_py(), own.ids[i], *best[d, i]) for d, i in sorted(best)]
-                yield K.batch_of(_FOUND, *(list(c) for c in zip(*rows, strict=True)))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, _FOUND_DDL)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word): test items found in documents, with where they stand."""
-    spark = docs.sparkSession
-    arrow_ready(spark)
-    found: list[DataFrame] = []
+            value, end = align(words, window, cfg.penalty)
+            score = round(value / len(words), 6)
+            if score >= cfg.threshold and score > best.get((d, i), (0,))[0]:
+                back, begin = align(words[::-1], window[:end][::-1], cfg.penalty)
+                best[d, i] = (score, lo + end - begin - int(w.off[d]), lo + end - int(w.off[d]))
+        return best
+
+
+def _finders(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig) -> list[Finder]:
+    """A finder for each block of test items, its seeds chosen over all of ``docs``."""
+    arrow_ready(docs.sparkSession)
+    out: list[Finder] = []
     block: list[tuple[int, str]] = []
     words = 0
+
+    def close() -> None:
+        items = Items(block, cfg.n)
+        out.append(Finder(items, _document_counts(docs, items, cfg.n), cfg))
+
     for row in benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
         block.append((row[0], row[1]))
         words += len((row[1] or "").split())
         if words >= cfg.block_words:
-            found.append(_leaks_of(docs, Items(block, cfg.n), cfg))
+            close()
             block, words = [], 0
     if block:
-        found.append(_leaks_of(docs, Items(block, cfg.n), cfg))
+        close()
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word): test items found in documents, with where they stand."""
+    spark = docs.sparkSession
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found: list[DataFrame] = []
+    for finder in _finders(docs, benchmark, cfg):
+        shared = spark.sparkContext.broadcast(finder)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch, buf, off in K.blocks(batches, lower=True):
+                best = shared.value.find(buf, off)
+                if best:
+                    ids = batch.column("doc_id")
+                    rows = [(ids[d].as_py(), shared.value.items.ids[i], *best[d, i]) for d, i in sorted(best)]
+                    yield K.batch_of(_FOUND, *(list(c) for c in zip(*rows, strict=True)))
+
+        found.append(base.mapInArrow(search, _FOUND_DDL))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _FOUND_DDL)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
-    """The rows of ``docs`` in which no test item was found."""
-    bad = leaks(docs, benchmark, cfg).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` in which no test item was found; each row is judged by its own text, whatever its doc_id."""
+    kept = docs
+    for finder in _finders(docs, benchmark, cfg):
+        shared = docs.sparkSession.sparkContext.broadcast(finder)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch, buf, off in K.blocks(batches, lower=True):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[d for d, _ in shared.value.find(buf, off)]] = False
+                yield batch.filter(pa.array(keep))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
