@@ -13,11 +13,13 @@ cluster of documents: k-means over hashed word counts of all documents, in at mo
 sums are of whole numbers, so they don't depend on the partitions. Any column can stand for the topic instead.
 
 Cells are counted by one aggregation. Up to ``driver_cells`` cells are raked on the driver; beyond that by DataFrame
-steps, an aggregation and a join per margin, with the cells written between rounds.
+steps, an aggregation and a join per margin, with the cells written between rounds. Both take the same scaled targets and give
+the same weights.
 
 Defined cases: null source, language or topic is a value of its own; documents without words have no
-mass and are never sampled; a margin value without mass is left out and the others are scaled; repeated rows are
-cells' members each and are sampled together; an empty table gives no rows. Extra columns are kept by ``sample``.
+mass and are never sampled; a target value without mass is left out and the others are scaled to 1, a value without a target gets
+weight 0; repeated rows are cells' members each and are sampled together; a row without a doc_id is drawn by a hash of its text; an
+empty table gives no rows. Extra columns are kept by ``sample``, also those called topic, weight or probability.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from corpusmill.llm import textkit as K
-from corpusmill.llm.store import arrow_ready, written
+from corpusmill.llm.store import arrow_ready, fresh, written
 
 U = np.uint64
 
@@ -140,55 +143,75 @@ def learn_topics(docs: DataFrame, cfg: MixConfig = MixConfig()) -> np.ndarray:
     return centres[np.argsort(-size, kind="stable")]
 
 
+def _topic_of(buf: np.ndarray, off: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Topic and number of words of each document of a lower-cased block."""
+    profile, words = word_profile(buf, off, centres.shape[1])
+    return np.round(profile @ centres.T, 9).argmax(axis=1).astype(np.int32), words.astype(np.int64)
+
+
 def with_topics(docs: DataFrame, centres: np.ndarray) -> DataFrame:
-    """``docs`` without its text, with topic (int) and n_tokens (long) of each."""
+    """(doc_id, mark, source, lang, topic, n_tokens) of every row; mark is a hash of its text."""
     arrow_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(centres)
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("topic", pa.int32()), ("n_tokens", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("topic", pa.int32()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in K.blocks(batches, lower=True):
-            profile, words = word_profile(buf, off, shared.value.shape[1])
-            topic = np.round(profile @ shared.value.T, 9).argmax(axis=1)
-            yield K.batch_of(schema, batch.column("doc_id"), batch.column("source"), batch.column("lang"), topic.astype(np.int32), words)
+            yield K.batch_of(schema, *(batch.column(c) for c in ("doc_id", "mark", "source", "lang")), *_topic_of(buf, off, shared.value))
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    return base.mapInArrow(run, "doc_id long, mark long, source string, lang string, topic int, n_tokens long")
+
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
-    return base.mapInArrow(run, "doc_id long, source string, lang string, topic int, n_tokens long")
+def _wanted(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """(value, share) for each margin: the targets of the values that have mass, scaled to a sum of 1. A value without a target gets 0."""
+    out = {}
+    for name in MARGINS:
+        there = cells.select(F.col(name).alias("_v")).distinct()
+        goal = there.join(targets[name], F.col("_v").eqNullSafe(F.col("value")), "left").groupBy("_v").agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("share"))
+        goal = written(goal, "wanted")
+        every = goal.agg(F.sum("share")).first()[0] or 1.0
+        out[name] = goal.select(F.col("_v").alias("value"), (F.col("share") / every).alias("share"))
+    return out
 
 
-def _raked_here(cells: list, targets: dict[str, dict], cfg: MixConfig) -> np.ndarray:
+def _raked_here(cells: list, wanted: dict[str, dict], cfg: MixConfig) -> np.ndarray:
     """Fitted masses of (source, lang, topic, mass) cells, by numpy."""
     mass = np.array([c["mass"] for c in cells], float)
-    places, wanted = [], []
+    places, goals = [], []
     for name in MARGINS:
         values = {v: i for i, v in enumerate(dict.fromkeys(c[name] for c in cells))}
         places.append(np.array([values[c[name]] for c in cells]))
-        goal = np.array([targets[name].get(v, 0.0) for v in values])
-        wanted.append(goal / goal.sum() * mass.sum())
+        goals.append(np.array([wanted[name][v] for v in values]) * mass.sum())
+    total = mass.sum()
     for _ in range(cfg.rounds):
         off = 0.0
-        for place, goal in zip(places, wanted, strict=True):
+        for place, goal in zip(places, goals, strict=True):
             now = np.bincount(place, weights=mass, minlength=len(goal))
-            off = max(off, float(np.abs(now - goal).max() / goal.sum()))
+            off = max(off, float(np.abs(now - goal).max() / total))
             mass = mass * np.where(now > 0, goal / np.where(now > 0, now, 1), 0)[place]
         if off <= cfg.tolerance:
             break
     return mass
 
 
-def _raked_apart(cells: DataFrame, targets: dict[str, DataFrame], cfg: MixConfig) -> DataFrame:
-    """The same for any number of cells: one aggregation and one join for each margin and round."""
+def _raked_apart(cells: DataFrame, wanted: dict[str, DataFrame], cfg: MixConfig) -> DataFrame:
+    """The same for any number of cells: one aggregation and one join for each margin, one table a round."""
     total = cells.agg(F.sum("mass")).first()[0]
     now = cells.withColumn("fitted", F.col("mass").cast("double"))
     for _ in range(cfg.rounds):
-        off = []
+        # how far each margin was off before it was scaled rides along with the cells
         for name in MARGINS:
-            margin = now.groupBy(F.col(name).alias("_v")).agg(F.sum("fitted").alias("_now")).join(targets[name].select(F.col("value").alias("_t"), (F.col("share") * total).alias("_goal")), F.col("_v").eqNullSafe(F.col("_t")), "left")
-            margin = margin.select("_v", F.coalesce("_goal", F.lit(0.0)).alias("_goal"), "_now")
-            off.append(margin.agg(F.max(F.abs(F.col("_now") - F.col("_goal")))).first()[0] / total)
+            goal = wanted[name].select(F.col("value").alias("_t"), (F.col("share") * total).alias("_goal"))
+            margin = now.groupBy(F.col(name).alias("_v")).agg(F.sum("fitted").alias("_now")).join(goal, F.col("_v").eqNullSafe(F.col("_t"))).drop("_t")
             scale = F.when(F.col("_now") > 0, F.col("_goal") / F.col("_now")).otherwise(0.0)
-            now = written(now.join(margin, F.col(name).eqNullSafe(F.col("_v"))).select(*MARGINS, "mass", (F.col("fitted") * scale).alias("fitted")), "raked")
-        if max(off) <= cfg.tolerance:
+            joined = now.join(margin, F.col(name).eqNullSafe(F.col("_v")))
+            kept = [c for c in now.columns if c.startswith("off_") and c != f"off_{name}"]
+            now = joined.select(*MARGINS, "mass", (F.col("fitted") * scale).alias("fitted"), F.abs(F.col("_now") - F.col("_goal")).alias(f"off_{name}"), *kept)
+        now = written(now, "raked")
+        off = now.agg(*[F.max(f"off_{m}") for m in MARGINS]).first()
+        now = now.select(*MARGINS, "mass", "fitted")
+        if max(off) / total <= cfg.tolerance:
             break
     return now
 
@@ -220,19 +243,17 @@ def calibrated(members: DataFrame, targets: dict[str, DataFrame] | None = None,
     """(source, lang, topic, weight, probability) of each cell of (source, lang, topic, n_tokens) rows."""
     spark = members.sparkSession
     cells = written(members.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("mass")), "cells")
-    if targets is None:
-        targets = default_targets(cells, cfg)
+    wanted = _wanted(cells, targets or default_targets(cells, cfg))
     schema = "source string, lang string, topic int, weight double, probability double"
     if cells.count() <= cfg.driver_cells:
         rows = sorted(cells.collect(), key=lambda c: tuple((c[m] is None, c[m]) if c[m] is not None else (True, "") for m in MARGINS))
         if not rows:
             return spark.createDataFrame([], schema)
         mass = np.array([c["mass"] for c in rows], float)
-        wanted = {name: {r["value"]: r["share"] for r in t.collect()} for name, t in targets.items()}
-        ratio = _raked_here(rows, wanted, cfg) / mass
+        ratio = _raked_here(rows, {name: {r["value"]: r["share"] for r in t.collect()} for name, t in wanted.items()}, cfg) / mass
         p = _probabilities(ratio, mass, cfg.budget)
         return spark.createDataFrame([(*(c[m] for m in MARGINS), round(float(w), 9), round(float(q), 9)) for c, w, q in zip(rows, ratio, p, strict=True)], schema)
-    fitted = _raked_apart(cells, targets, cfg).withColumn("ratio", F.col("fitted") / F.col("mass"))
+    fitted = _raked_apart(cells, wanted, cfg).withColumn("ratio", F.col("fitted") / F.col("mass"))
     goal = cfg.budget * fitted.filter("ratio > 0").agg(F.sum("mass")).first()[0]
     limit = None  # cells with a ratio from here on are at 1
     while True:
@@ -247,20 +268,37 @@ def calibrated(members: DataFrame, targets: dict[str, DataFrame] | None = None,
     return fitted.select(*MARGINS, F.round("ratio", 9).alias("weight"), F.round(p, 9).alias("probability"))
 
 
+def _drawn(rows: DataFrame, cells: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``rows`` with weight, probability and sampled from their cell, under the given names; ``names`` also tells their margins."""
+    cells = cells.select(*[F.col(m).alias(f"_c_{m}") for m in MARGINS], F.col("weight").alias("_c_weight"), F.col("probability").alias("_c_probability"))
+    joined = rows.join(cells, [F.col(f"_c_{m}").eqNullSafe(F.col(names[m])) for m in MARGINS], "left")
+    p = F.when(F.col(names["n_tokens"]) > 0, F.coalesce("_c_probability", F.lit(0.0))).otherwise(0.0)
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.col(names["mark"])), F.lit("mix")), F.lit(1 << 53)) / float(1 << 53)
+    out = joined.withColumns({names["weight"]: F.coalesce("_c_weight", F.lit(0.0)), names["probability"]: p})
+    return out.withColumn(names["sampled"], draw < F.col(names["probability"])).drop(*[c for c in cells.columns])
+
+
 def weighted(docs: DataFrame, targets: dict[str, DataFrame] | None = None, cfg: MixConfig = MixConfig()) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled) of every row."""
     members = written(with_topics(docs, learn_topics(docs, cfg)), "members")
-    cells = calibrated(members, targets, cfg)
-    same = [F.col(f"c_{m}").eqNullSafe(F.col(m)) for m in MARGINS]
-    cells = cells.select(*[F.col(m).alias(f"c_{m}") for m in MARGINS], "weight", "probability")
-    joined = members.join(cells, same, "left")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 53)) / float(1 << 53)
-    p = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
-    return joined.select("doc_id", "source", "lang", "topic", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), p.alias("probability"), (draw < p).alias("sampled"))
+    names = {n: n for n in (*MARGINS, "n_tokens", "mark", "weight", "probability", "sampled")}
+    return _drawn(members, calibrated(members, targets, cfg), names).drop("mark")
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """The sampled rows of ``docs``, with topic, weight and probability."""
-    chosen = weighted(docs, targets, cfg).filter("sampled").select("doc_id", "topic", "weight", "probability").dropDuplicates(["doc_id"])
-    clean = [c for c in docs.columns if c not in ("topic", "weight", "probability")]
-    return docs.select(clean).join(chosen, "doc_id").select(*clean, "topic", "weight", "probability")
+    """The sampled rows of ``docs`` with their columns, then topic, weight and probability; where ``docs`` has such a column already,
+    the new one's name begins with an underscore. A row is drawn by its own cell, without a join on doc_id."""
+    centres = learn_topics(docs, cfg)
+    cells = calibrated(with_topics(docs, centres), targets, cfg)
+    names = {n: fresh(n, docs.columns) for n in ("topic", "n_tokens", "mark", "weight", "probability", "sampled")}
+    shared = docs.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, off in K.blocks(batches, lower=True):
+            topic, words = _topic_of(buf, off, shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(topic), pa.array(words)], [*batch.schema.names, names["topic"], names["n_tokens"]])
+
+    schema = ST.StructType([*docs.schema.fields, ST.StructField(names["topic"], ST.IntegerType()), ST.StructField(names["n_tokens"], ST.LongType())])
+    placed = docs.mapInArrow(run, schema).withColumn(names["mark"], F.xxhash64("text"))
+    drawn = _drawn(placed, cells, names | {"source": "source", "lang": "lang"}).filter(F.col(names["sampled"]))
+    return drawn.select(*docs.columns, names["topic"], names["weight"], names["probability"])
