@@ -1,24 +1,25 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A text's features are its distinct lower-cased words and their first ``prefixes`` bytes. A
-logistic model learns from labelled texts. For every labelled text that names a group, the
-identity term is swapped for each other term of its list, a neutral one among them; the squared
-change of the score is added to the loss. So a group's name carries about the weight of a
-neutral word, and a neutral mention is not a reason to call a text toxic.
+logistic model learns from labelled texts. Every labelled text that names a group is written again with the
+identity term swapped for each other term of its list, a neutral one among them, and read like any text; the squared
+change of the log-odds between the text and its swapped version, in the mean over a text's versions, is added to the loss.
+So a group's name carries about the weight of a neutral word, and a neutral mention is not a reason to call a text toxic.
 
 Learning uses a bounded sample, at most ``rows`` labelled texts of each label chosen by a hash of
-doc_id, and at most ``features`` features, the ones most associated with either label in it; those
+doc_id; the model has at most ``features`` features, the ones most associated with either label in it; those
 bounds are also the bound of the broadcast model. The sample is weighted back to the shares of all
 labelled rows, so scores are probabilities. Scoring covers every word of every text.
 
 Defined cases: null and empty texts score the model's intercept; rows with a null label or text
-are not learnt from; a doc_id labelled more than once counts with its largest label; with nothing
-to learn from, the score is the share of label 1, or 0; repeated rows score alike. Extra columns
-are ignored.
+are not learnt from; a doc_id labelled more than once counts with its largest label, one with several texts with the first in
+order; with nothing to learn from, the score is the share of label 1, or 0; repeated rows score alike. Extra columns
+are ignored by ``scores`` and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -95,17 +96,36 @@ def hits(doc: np.ndarray, key: np.ndarray, known: np.ndarray) -> tuple[np.ndarra
     return pair // len(known), pair % len(known)
 
 
-def fit(y: np.ndarray, weight: np.ndarray, row: np.ndarray, col: np.ndarray, width: int, swaps: list[tuple[np.ndarray, np.ndarray, float]], cfg: ToxicityConfig) -> tuple[np.ndarray, float]:
+#: Not within a word.
+_APART = r"(?<![0-9a-z\x80-\U0010ffff]){}(?![0-9a-z\x80-\U0010ffff])"
+
+
+def swapped(text: str) -> list[str]:
+    """A lower-cased text with each identity term that it names swapped for each other one of the term's list."""
+    out = []
+    for group in IDENTITY_TERMS:
+        for term in group:
+            if term in text and re.search(pattern := _APART.format(re.escape(term)), text):
+                out += [re.sub(pattern, other, text) for other in group if other != term]
+    return out
+
+
+@dataclass
+class Swaps:
+    """Differences between texts and their swapped versions: a share for each, and its features with their sign."""
+
+    share: np.ndarray
+    at: np.ndarray
+    feature: np.ndarray
+    sign: np.ndarray
+
+
+def fit(y: np.ndarray, weight: np.ndarray, row: np.ndarray, col: np.ndarray, width: int, swaps: Swaps, cfg: ToxicityConfig) -> tuple[np.ndarray, float]:
     """Weighted logistic regression with a ridge and the swap penalty, by accelerated gradient steps.
 
-    (row, col) are the ones of the sparse design matrix; a swap is (features out, features in, share of rows).
+    (row, col) are the ones of the sparse design matrix.
     """
     weight = weight / weight.sum()
-    out_at = np.concatenate([np.full(len(a), i) for i, (a, _, _) in enumerate(swaps)] or [[]]).astype(np.int64)
-    out_f = np.concatenate([a for a, _, _ in swaps] or [[]]).astype(np.int64)
-    in_at = np.concatenate([np.full(len(b), i) for i, (_, b, _) in enumerate(swaps)] or [[]]).astype(np.int64)
-    in_f = np.concatenate([b for _, b, _ in swaps] or [[]]).astype(np.int64)
-    share = np.array([s for _, _, s in swaps])
 
     def product(v: np.ndarray) -> np.ndarray:
         return np.bincount(row, weights=v[col], minlength=len(y))
@@ -113,18 +133,15 @@ def fit(y: np.ndarray, weight: np.ndarray, row: np.ndarray, col: np.ndarray, wid
     def back(r: np.ndarray) -> np.ndarray:
         return np.bincount(col, weights=r[row], minlength=width)
 
-    def swapped(v: np.ndarray) -> np.ndarray:
-        if not swaps:
-            return np.zeros(width)
-        change = np.bincount(in_at, weights=v[in_f], minlength=len(swaps)) - np.bincount(out_at, weights=v[out_f], minlength=len(swaps))
-        pull = 2 * cfg.swap * share * change
-        return np.bincount(in_f, weights=pull[in_at], minlength=width) - np.bincount(out_f, weights=pull[out_at], minlength=width)
+    def pulled(v: np.ndarray) -> np.ndarray:
+        change = np.bincount(swaps.at, weights=v[swaps.feature] * swaps.sign, minlength=len(swaps.share))
+        return np.bincount(swaps.feature, weights=(2 * cfg.swap * swaps.share * change)[swaps.at] * swaps.sign, minlength=width)
 
     # the largest curvature, by power iteration over the data and the penalty
     v, curve = np.ones(width + 1), 1.0
     for _ in range(30):
         z = 0.25 * weight * (product(v[:-1]) + v[-1])
-        v = np.append(back(z) + swapped(v[:-1]), z.sum())
+        v = np.append(back(z) + pulled(v[:-1]), z.sum())
         curve = float(np.linalg.norm(v))
         v /= curve or 1
     step = 1 / (1.1 * curve + 2 * cfg.ridge)
@@ -133,7 +150,7 @@ def fit(y: np.ndarray, weight: np.ndarray, row: np.ndarray, col: np.ndarray, wid
     for _ in range(cfg.steps):
         p = 1 / (1 + np.exp(-np.clip(product(w1) + b1, -50, 50)))
         r = weight * (p - y)
-        w2 = w1 - step * (back(r) + 2 * cfg.ridge * w1 + swapped(w1))
+        w2 = w1 - step * (back(r) + 2 * cfg.ridge * w1 + pulled(w1))
         b2 = b1 - step * r.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         w1, b1 = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
@@ -147,7 +164,9 @@ def _term_features(term: str, prefixes: tuple[int, ...]) -> np.ndarray:
 
 
 COUNTED = "key long, ones long, zeros long"
-SPARSE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("found", pa.list_(pa.int32()))])
+_SWAP = pa.struct([("gone", pa.list_(pa.int32())), ("new", pa.list_(pa.int32()))])
+SPARSE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("found", pa.list_(pa.int32())), ("swaps", pa.list_(_SWAP))])
+SPARSE_DDL = "doc_id long, toxic int, found array<int>, swaps array<struct<gone:array<int>,new:array<int>>>"
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
@@ -164,7 +183,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, cfg: ToxicityCo
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
     chosen = [marked.filter(F.col("toxic") == k).filter(draw < int(min(1.0, 1.2 * cfg.rows / size[k]) * (1 << 30))).orderBy(draw, "doc_id").limit(cfg.rows) for k in (0, 1)]
     sample = chosen[0].union(chosen[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("ones", pa.int64()), ("zeros", pa.int64())])
@@ -183,28 +202,38 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, cfg: ToxicityCo
     # log-odds against the sample's shares, weighed by how often the feature was seen
     odds = F.abs(F.log((F.col("a") + 0.5) / (took[1] + 1.0)) - F.log((F.col("b") + 0.5) / (took[0] + 1.0)))
     best = table.select("key", (odds * F.sqrt(F.col("a") + F.col("b"))).alias("weighed")).orderBy(F.desc("weighed"), "key").limit(cfg.features)
-    terms = [[_term_features(t, cfg.prefixes) for t in group] for group in IDENTITY_TERMS]
-    keys = np.unique(np.concatenate([np.array([r[0] for r in best.collect()], np.int64).view(np.uint64), *[x for group in terms for x in group]]))
+    terms = np.concatenate([_term_features(t, cfg.prefixes) for group in IDENTITY_TERMS for t in group])
+    keys = np.unique(np.concatenate([np.array([r[0] for r in best.collect()], np.int64).view(np.uint64), terms]))
     shared = spark.sparkContext.broadcast(keys)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in K.blocks(batches, lower=True):
             doc, at = hits(*features(buf, off, cfg.prefixes), shared.value)
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield K.batch_of(SPARSE, batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(ends, at.astype(np.int32)))
-
-    rows = texts.mapInArrow(found, "doc_id long, toxic int, found array<int>").toArrow().sort_by("doc_id")
+            swaps = []
+            for d in range(batch.num_rows):
+                own = at[ends[d] : ends[d + 1]]
+                others = swapped(buf[off[d] : off[d + 1]].tobytes().decode())
+                there, theirs = hits(*features(*K.string_buffers(pa.array(others, pa.large_string())), cfg.prefixes), shared.value) if others else (own, own)
+                swaps.append([{"gone": np.setdiff1d(own, theirs[there == k]).tolist(), "new": np.setdiff1d(theirs[there == k], own).tolist()} for k in range(len(others))])
+            yield K.batch_of(SPARSE, batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(ends, at.astype(np.int32)), swaps)
+
+    rows = texts.mapInArrow(found, SPARSE_DDL).toArrow().sort_by("doc_id")
     y = rows["toxic"].to_numpy().astype(float)
     lists = rows["found"].combine_chunks()
     ends = lists.offsets.to_numpy()
     row, col = np.repeat(np.arange(len(y)), np.diff(ends)), lists.values.to_numpy()[ends[0] : ends[-1]]
     per = {k: size[k] / max(1, (y == k).sum()) for k in size}
     weight = np.where(y == 1, per[1], per[0])
-    swaps = []
-    named = np.bincount(col, minlength=len(keys)) / max(1, len(y))
-    for group in terms:
-        ids = [np.searchsorted(keys, t) for t in group]
-        swaps += [(a, b, float(named[a[0]]) / (len(ids) - 1)) for a in ids for b in ids if a is not b and named[a[0]]]
+    share, at, feature, sign = [], [], [], []
+    for w, versions in zip((weight / weight.sum()).tolist(), rows["swaps"].to_pylist(), strict=True):
+        for version in versions:
+            for way, features_of in ((-1.0, version["gone"]), (1.0, version["new"])):
+                at += [len(share)] * len(features_of)
+                feature += features_of
+                sign += [way] * len(features_of)
+            share.append(w / len(versions))
+    swaps = Swaps(np.array(share), np.array(at, np.int64), np.array(feature, np.int64), np.array(sign))
     w, b = fit(y, weight, row, col, len(keys), swaps, cfg)
     return ToxicityModel(keys, w, b, cfg.prefixes)
 

@@ -57,3 +57,61 @@ def test_kept_rows_are_unchanged(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
     kept = X.without_toxic(docs, X.learn(docs, labels, F.lit(True)))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(80) if i % 4}
+
+
+def test_swapped_texts():
+    got = X.swapped("a woman, womanly, met the women of 2women")
+    assert "a man, womanly, met the women of 2women" in got and "a woman, womanly, met the people of 2women" in got
+    assert len(got) == 4 + 5 and all("womanly" in t and "2women" in t for t in got)
+    assert X.swapped("nobody named") == []
+
+
+def plain_log_odds(texts, y, cfg, probes):
+    """The same model over a dense matrix of every feature, with the swapped texts as rows of their own."""
+    import re
+
+    def features(text):
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())
+        return {w for w in words} | {(n, w.encode()[:n]) for w in words for n in cfg.prefixes if len(w.encode()) > n}
+
+    names = sorted({f for t in texts for f in features(t)} | {f for g in X.IDENTITY_TERMS for t in g for f in features(t)}, key=str)
+    matrix = lambda rows: np.array([[float(n in f) for n in names] + [1.0] for f in map(features, rows)])
+    count = {n: sum(n in features(t) for t in texts) for n in names}
+    terms = {f for g in X.IDENTITY_TERMS for t in g for f in features(t)}
+    keep = np.array([count[n] >= 3 or n in terms for n in names] + [True])
+    x = matrix(texts) * keep
+    pairs = [(v, i, 1 / len(X.swapped(t.lower())) / len(texts)) for i, t in enumerate(texts) for v in X.swapped(t.lower())]
+    d = matrix([v for v, _, _ in pairs]) * keep - x[[i for _, i, _ in pairs]]
+    share = np.array([s for _, _, s in pairs])
+    ridge = np.full(x.shape[1], 2 * cfg.ridge)
+    ridge[-1] = 0
+    w = np.zeros(x.shape[1])
+    for _ in range(60):  # Newton's steps
+        p = 1 / (1 + np.exp(-x @ w))
+        grad = x.T @ (p - y) / len(y) + ridge * w + 2 * cfg.swap * d.T @ (share * (d @ w))
+        curve = (x * (p * (1 - p) / len(y))[:, None]).T @ x + np.diag(ridge + 1e-12) + 2 * cfg.swap * (d * share[:, None]).T @ d
+        w -= np.linalg.solve(curve, grad)
+    return matrix(probes) * keep @ w
+
+
+def test_model_against_a_plain_fit_with_swapped_rows(spark):
+    import random
+
+    rng = random.Random(4)
+    words = "tea walk home river blue garden stupid fool idiot kind bread music".split()
+    texts = [" ".join(rng.sample(words, 5) + ([rng.choice(["muslims", "christians", "women", "people"])] if rng.random() < 0.6 else [])) for _ in range(120)]
+    y = np.array([float(("stupid" in t or "idiot" in t) != ("muslims" in t and rng.random() < 0.3)) for t in texts])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    cfg = X.ToxicityConfig(steps=20000, ridge=2e-3)
+    probes = ["muslims walk home", "people walk home", "a stupid idiot", "", "women and tea", "idiot christians"]
+    got = score(X.learn(docs, labels, F.lit(True), cfg), *probes)
+    want = plain_log_odds(texts, y, cfg, probes)
+    assert np.allclose(got, want, atol=0.02), (got, want)
+
+
+def test_long_and_repeated_texts(spark):
+    docs = spark.createDataFrame([(i, "idiot people" if i % 3 == 0 else "kind people") for i in range(60)] + [(100, "kind bread " * 200_000), (101, "kind " * 1000 + "idiot")] + [(7, "another text of seven")] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(100, 0)], "doc_id long, toxic int")
+    found = {(r.doc_id, r.predicted) for r in X.scores(docs, X.learn(docs, labels, F.lit(True))).collect()}
+    assert {(100, 0), (101, 1)} <= found and X.scores(docs, X.learn(docs, labels, F.lit(True))).count() == 64
