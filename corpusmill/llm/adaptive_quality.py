@@ -6,16 +6,18 @@ Their distribution in every (lang, source) group is kept as a log-bucket histogr
 in the bucket of its logarithm, a bucket is a row with a count, and two histograms merge by adding
 counts. Any quantile read from one is off by at most ``accuracy`` of its value, however often
 histograms were merged, and the result doesn't depend on the order. A document is dropped where
-a ratio lies beyond its group's fence: the ``upper`` quantile plus ``reach`` times the spread between
-the quantiles, the spread being no less than ``floor`` of the ratio.
+a ratio lies beyond its group's fence: the ``upper`` quantile plus ``reach`` times its distance from the ``lower`` one.
+That distance counts as a small least value where nearly all documents of a group are alike, and no fence lies beyond a
+highest value, so that a group that is mostly junk sets no fence of its own.
 
 Everything is DataFrame operations. A window of three words is named by a 64-bit hash, its
-low bits replaced by its position, so that one sort of longs per document finds repeated windows;
-at 2^20 words that leaves 44 bits of hash.
+low bits replaced by its position, so that one sort of longs per document finds repeated windows. Neighbours of
+equal hash are compared word by word; a document where two differ (long ones have fewer bits of hash) is counted again by
+sorting the windows themselves, so counts are exact.
 
 Defined cases: null and empty texts have no words, zero counts and fail the base rule; null lang or
-source form a group of their own; a group of one document has a spread of ``floor``; repeated rows
-are judged and counted each. Extra columns are ignored.
+source form a group of their own; a group of one document has the least distance; repeated rows
+are judged and counted each. Extra columns are ignored, also those with the names of counts.
 """
 
 from __future__ import annotations
@@ -36,14 +38,14 @@ SPACE = r"[\x20\x09-\x0D]"
 @dataclass(frozen=True)
 class QualityConfig:
     accuracy: float = 0.01
-    lower: float = 0.25
-    upper: float = 0.75
-    reach: float = 6.0
+    lower: float = 0.5
+    upper: float = 0.9
+    reach: float = 3.0
     least: float = 1e-4
 
 
-#: Ratios, and the least spread of each.
-RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.1, "repeat_ratio": 0.1, "word_length": 2.0}
+#: Ratios, with the least distance between the quantiles and the highest fence of each.
+RATIOS = {"symbol_ratio": (0.02, 0.2), "dup_line_ratio": (0.03, 0.3), "repeat_ratio": (0.03, 0.4), "word_length": (0.1, 12.0)}
 
 
 #: Sorted window keys (hash above, position below) of the words ``w``; ``b`` bits hold the position.
@@ -52,11 +54,21 @@ _KEYS = "if(size(w) < 3, array(), sort_array(transform(sequence(0, size(w) - 3),
 _TWICE = """sort_array(transform(
     filter(k, (x, j) -> shiftright(x, b) <=> shiftright(get(k, j - 1), b) or shiftright(x, b) <=> shiftright(get(k, j + 1), b)),
     x -> x & (shiftleft(1L, b) - 1)))"""
+#: The position in a key, and whether the windows of two keys hold the same words.
+_AT = "cast({x} & (shiftleft(1L, b) - 1) as int)"
+_SAME = " and ".join(f"get(w, {_AT.format(x='x')} + {d}) = get(w, {_AT.format(x='get(k, j - 1)')} + {d})" for d in (0, 1, 2))
+#: Whether two neighbours share a hash and no words.
+_CLASH = f"exists(transform(k, (x, j) -> shiftright(x, b) <=> shiftright(get(k, j - 1), b) and not ({_SAME})), c -> c)"
+#: The same positions by sorting the windows themselves.
+_WORDS = "sort_array(transform(sequence(0, size(w) - 3), i -> struct(get(w, i) as a, get(w, i + 1) as b, get(w, i + 2) as c, cast(i as long) as i)))"
+_EXACT = """sort_array(transform(
+    filter(s, (x, j) -> struct(x.a, x.b, x.c) <=> struct(get(s, j - 1).a, get(s, j - 1).b, get(s, j - 1).c) or struct(x.a, x.b, x.c) <=> struct(get(s, j + 1).a, get(s, j + 1).b, get(s, j + 1).c)),
+    x -> x.i))"""
 #: Words under those windows: each covers three, less what the next one covers too.
 _COVERED = "aggregate(transform(p, (x, j) -> least(3L, coalesce(get(p, j + 1) - x, 3L))), 0L, (s, x) -> s + x)"
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, keys: str = _KEYS) -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)."""
     text = F.coalesce("text", F.lit(""))
     split = docs.select(
@@ -74,9 +86,10 @@ def measured(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(_KEYS).alias("k"),
+        "w", F.expr(keys).alias("k"),
     )
-    placed = keyed.withColumn("p", F.expr(_TWICE))
+    checked = keyed.withColumn("s", F.expr(f"if({_CLASH}, {_WORDS}, null)")).drop("w")
+    placed = checked.withColumn("p", F.expr(f"if(s is null, {_TWICE}, {_EXACT})"))
     return placed.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.expr(_COVERED).alias("n_repeat_words"))
 
 
@@ -110,8 +123,8 @@ def judged(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     ratios = written(ratios, "quality")
     keys = ["lang", "source"]
     limits = quantiles(sketch(ratios.filter("not base_failed"), keys, list(RATIOS), cfg), keys, {"lo": cfg.lower, "hi": cfg.upper}, cfg)
-    least = F.coalesce(*[F.when(F.col("ratio") == name, spread) for name, spread in RATIOS.items()])
-    fence = F.col("hi") + cfg.reach * F.greatest(F.col("hi") - F.col("lo"), least)
+    least, most = (F.coalesce(*[F.when(F.col("ratio") == name, bound[k]) for name, bound in RATIOS.items()]) for k in (0, 1))
+    fence = F.least(F.col("hi") + cfg.reach * F.greatest(F.col("hi") - F.col("lo"), least), most)
     fences = limits.groupBy(*keys).agg(*[F.max(F.when(F.col("ratio") == name, fence)).alias(f"{name}_fence") for name in RATIOS])
     fences = fences.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[f"{name}_fence" for name in RATIOS])
     joined = ratios.join(fences, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")

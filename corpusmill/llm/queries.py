@@ -103,20 +103,20 @@ r AS (
     n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS word_length,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 v AS (
-  SELECT lang, source, 'symbol_ratio' AS ratio, symbol_ratio AS v, 0.05 AS least FROM r WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'dup_line_ratio', dup_line_ratio, 0.1 FROM r WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'repeat_ratio', repeat_ratio, 0.1 FROM r WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'word_length', word_length, 2.0 FROM r WHERE NOT base_failed),
+  SELECT lang, source, 'symbol_ratio' AS ratio, symbol_ratio AS v, 0.02::DOUBLE AS least, 0.2::DOUBLE AS most FROM r WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'dup_line_ratio', dup_line_ratio, 0.03, 0.3 FROM r WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'repeat_ratio', repeat_ratio, 0.03, 0.4 FROM r WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'word_length', word_length, 0.1, 12.0 FROM r WHERE NOT base_failed),
 h AS (
-  SELECT lang, source, ratio, least, CASE WHEN v <= 1e-4 THEN 0 ELSE ceil(ln(v / 1e-4::double) / ln({_GAMMA}))::INT END AS bucket, count(*) AS n
+  SELECT lang, source, ratio, least, most, CASE WHEN v <= 1e-4 THEN 0 ELSE ceil(ln(v / 1e-4::double) / ln({_GAMMA}))::INT END AS bucket, count(*) AS n
   FROM v GROUP BY ALL),
 c AS (
   SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS total,
     CASE WHEN bucket = 0 THEN 0 ELSE 1e-4::double * 2 / ({_GAMMA} + 1) * pow({_GAMMA}, bucket) END AS value FROM h),
 q AS (
-  SELECT lang, source, ratio, least::double AS least, min(value) FILTER (upto >= total * 0.25) AS lo, min(value) FILTER (upto >= total * 0.75) AS hi
-  FROM c GROUP BY lang, source, ratio, least),
-f AS (SELECT lang, source, map_from_entries(list((ratio, hi + 6.0 * greatest(hi - lo, least)))) AS fence FROM q GROUP BY lang, source)
+  SELECT lang, source, ratio, least, most, min(value) FILTER (upto >= total * 0.5::DOUBLE) AS lo, min(value) FILTER (upto >= total * 0.9::DOUBLE) AS hi
+  FROM c GROUP BY lang, source, ratio, least, most),
+f AS (SELECT lang, source, map_from_entries(list((ratio, least(hi + 3.0::DOUBLE * greatest(hi - lo, least), most)))) AS fence FROM q GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   reason IS NULL AS kept, reason
 FROM (SELECT r.*, CASE WHEN base_failed THEN 'base' WHEN symbol_ratio > fence['symbol_ratio'] THEN 'symbol_ratio' WHEN dup_line_ratio > fence['dup_line_ratio'] THEN 'dup_line_ratio'

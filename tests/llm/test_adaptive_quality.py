@@ -10,7 +10,7 @@ from corpusmill.llm import adaptive_quality as A
 def test_counts_and_odd_rows(spark):
     rows = [(1, "a b c a b c", None, "s"), (2, None, "en", None), (3, "", "en", "s"), (4, "x#$\n\n x#$\n y", "en", "s"), (4, "x#$\n\n x#$\n y", "en", "s"), (5, "a a a a", "en", "s"), (6, "\x0b é|< \n", "en", "s")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_words long")
-    found = {r.doc_id: r for r in A.judged(docs.drop("n_words")).collect()}
+    found = {r.doc_id: r for r in A.judged(docs).collect()}
     shape = lambda r: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
     assert shape(found[1]) == (6, 6, 0, 0, 6) and shape(found[2]) == shape(found[3]) == (0, 0, 0, 0, 0)
     assert shape(found[4]) == (3, 7, 4, 0, 0) and shape(found[5]) == (4, 4, 0, 0, 4) and shape(found[6]) == (1, 3, 2, 0, 0)
@@ -37,3 +37,36 @@ def test_merged_sketches_keep_their_error(spark):
     for q, name in ((0.1, "a"), (0.5, "b"), (0.99, "c")):
         exact = values[max(0, -(-int(q * 100) * len(values) // 100) - 1)]
         assert abs(got[name] - exact) <= 0.011 * exact
+
+
+def brute_repeats(w):
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    twice = {g for g in grams if grams.count(g) > 1}
+    return len({i + d for i, g in enumerate(grams) if g in twice for d in range(3)})
+
+
+def test_repeated_words_are_exact_where_hashes_clash(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(rng.randrange(60))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    few = A._KEYS.replace("xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))", "pmod(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), 3)")
+    for keys in (A._KEYS, few):
+        found = {r.doc_id: r.n_repeat_words for r in A.measured(docs, keys).collect()}
+        assert found == {i: brute_repeats(t.split()) for i, t in enumerate(texts)}
+
+
+def test_every_ratio_fires_and_fences_differ(spark):
+    found = A.judged(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).cache()
+    reasons = {r.reason for r in found.select("reason").distinct().collect()}
+    assert reasons == {None, "base", *A.RATIOS}
+    for name, (_, most) in A.RATIOS.items():
+        fences = {r[0] for r in found.select(f"{name}_fence").distinct().collect()} - {None}
+        assert len(fences) > 1 and max(fences) <= most, (name, fences)
+    judged = found.filter("not base_failed")
+    assert 0.03 < judged.filter("not kept").count() / judged.count() < 0.2
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(120_000)] + ["a", "b", "c"] * 2
+    r = A.judged(spark.createDataFrame([(1, " ".join(words), "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    assert (r.n_words, r.n_repeat_words, r.kept) == (120_006, 6, True)
