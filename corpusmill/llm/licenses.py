@@ -1,7 +1,9 @@
 """License scans by template automata.
 
-A template is wording in the public SPDX markup: ``<<beginOptional>>...<<endOptional>>`` may be absent, and
-``<<var;max=N>>`` stands for one to N words of any kind; all other wording is mandatory. It is compiled to
+A template is wording in the public SPDX markup. ``<<beginOptional>>...<<endOptional>>`` may be absent.
+``<<var;name="..";original="..";match="..">>`` stands for one of the phrases of ``match`` where that is phrases with ``|`` between them,
+and for any words where it is another pattern: one at least unless the pattern accepts an empty text, and at most ``most``, a bound that
+the markup has not, so that a template can't stretch over a whole document. All other wording is mandatory. The template is compiled to
 an automaton over words. A text is accepted at a place where the automaton reaches an end state by exactly the
 mandatory words, with or without the optional ones; of the ends, the farthest counts. Case of A-Z, white
 space and punctuation don't count; words are runs of digits, letters and non-ASCII characters.
@@ -35,8 +37,33 @@ class Template:
     label: str
     markup: str
     base: bool = False
+    most: int = 8
 
 
+# Wording of public licenses.
+_GPL = (
+    "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+    "<<beginOptional>>either<<endOptional>> version {} <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or at your option any later version<<endOptional>>"
+)
+_MIT_GRANT = (
+    'permission is hereby granted free of charge to any person obtaining a copy of <<var;name="what";original="this software and associated documentation files";'
+    'match="this software and associated documentation files|this software|this source file">> <<beginOptional>>the software<<endOptional>> to deal in the software without restriction'
+)
+_MIT_REST = (
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+    "and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and noninfringement in no event shall "
+    '<<var;name="holder";original="the authors or copyright holders";match=".+">> be liable for any claim damages or other liability '
+    "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution"
+)
 #: Base phrases, then wording that names a license more closely. Fixed values.
 TEMPLATES = (
     Template("gpl", "gnu general public license", True),
@@ -45,19 +72,24 @@ TEMPLATES = (
     Template("mit", "mit license", True),
     Template("gpl-3.0", "licensed under the gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> version 3"),
     Template("gpl-2.0", "licensed under the gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> version 2"),
+    Template("gpl-3.0", _GPL.format(3)),
+    Template("gpl-2.0", _GPL.format(2)),
     Template("apache-2.0", "licensed under the apache license version 2.0"),
     Template("cc-by-4.0", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by 4.0"),
     Template("cc-by-nc-4.0", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by nc 4.0"),
     Template("cc-by-sa-4.0", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by sa 4.0"),
     Template("mit-notice", "released under the mit license"),
-    Template("copyright-mit", "copyright <<beginOptional>>c<<endOptional>> <<var;max=6>> released under the mit license"),
-    Template("spdx", "spdx license identifier <<var;max=4>>"),
-    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this <<var;max=6>> to deal in the software without restriction"),
+    Template("copyright-mit", 'copyright <<beginOptional>>c<<endOptional>> <<var;name="holder";original="year and name";match=".+">> released under the mit license', most=6),
+    Template("spdx", 'spdx license identifier <<var;name="id";original="";match=".+">>', most=4),
+    Template("mit-grant", _MIT_GRANT),
+    Template("mit-text", f"{_MIT_GRANT} {_MIT_REST}"),
     Template("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted"),
+    Template("bsd-2-clause", _BSD),
 )
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_PART = re.compile(r"<<(beginOptional|endOptional|var;max=(\d+))>>")
+_PART = re.compile(r"<<(beginOptional|endOptional|var)((?:;[^;=<>]*=\"[^\"]*\")*)>>")
+_PHRASES = re.compile(r"[\w\s,.'|()-]*")
 
 
 def words_of(text: str) -> list[str]:
@@ -67,7 +99,7 @@ def words_of(text: str) -> list[str]:
 class Automaton:
     """Word transitions, transitions on any word, and free moves between numbered states."""
 
-    def __init__(self, markup: str):
+    def __init__(self, markup: str, most: int = 8):
         self.on: list[dict[bytes, int]] = [{}]
         self.any: list[int | None] = [None]
         self.free: list[list[int]] = [[]]
@@ -88,18 +120,35 @@ class Automaton:
                 state = to
                 open_at.append(state)
             elif part[1] == "endOptional":
+                if not open_at:
+                    raise ValueError("an optional region ends that did not begin")
                 to = self._state()
                 self.free[state].append(to)
                 self.free[open_at.pop()].append(to)
                 state = to
             else:
+                match = dict(re.findall(r';([^;=]*)="([^"]*)"', part[2])).get("match", ".+")
                 end = self._state()
-                for _ in range(int(part[2])):
+                begin, state = state, end
+                if _PHRASES.fullmatch(match) and words_of(match) and "." not in match:
+                    for phrase in match.strip("()").split("|"):
+                        now = self._state()
+                        self.free[begin].append(now)
+                        for word in words_of(phrase):
+                            to = self._state()
+                            self.on[now][word.encode()] = to
+                            now = to
+                        self.free[now].append(end)
+                    continue
+                if re.fullmatch(match, ""):
+                    self.free[begin].append(end)
+                for _ in range(most):
                     to = self._state()
-                    self.any[state] = to
+                    self.any[begin] = to
                     self.free[to].append(end)
-                    state = to
-                state = end
+                    begin = to
+        if rest := re.search("<<(?:beginOptional|endOptional|var)", _PART.sub("", markup)):
+            raise ValueError(f"not understood: {rest[0]}")
         if open_at:
             raise ValueError("an optional region is not closed")
         self.final = state
@@ -146,7 +195,7 @@ _OUT_DDL = "doc_id long, n_words long, n_base long, first_word long, last_word l
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) of every row."""
     arrow_ready(docs.sparkSession)
-    compiled = [(t, Automaton(t.markup)) for t in templates]
+    compiled = [(t, Automaton(t.markup, t.most)) for t in templates]
     starts: dict[bytes, list[int]] = {}
     for i, (t, machine) in enumerate(compiled):
         first = machine.first_words()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -84,6 +86,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_rules": op10_url_rules,
 }
 
+#: The wording of op9, written out for SQL: {a|b} is one of some phrases (none between two bars), {1-6} so many words of any kind.
+_WORDING = (
+    ("gpl", True, "gnu general public license"), ("apache", True, "apache license"), ("cc-by", True, "cc by"), ("mit", True, "mit license"),
+    ("gpl-{2|3}.0", False, "licensed under the gnu general public license {as published by the free software foundation|} version {2|3}"),
+    ("gpl-{2|3}.0", False, "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation {either|} version {2|3} {of the license|} {or at your option any later version|}"),
+    ("apache-2.0", False, "licensed under the apache license version 2 0"),
+    ("cc-by-4.0", False, "licensed under {a|} {creative commons|} cc by 4 0"), ("cc-by-nc-4.0", False, "licensed under {a|} {creative commons|} cc by nc 4 0"), ("cc-by-sa-4.0", False, "licensed under {a|} {creative commons|} cc by sa 4 0"),
+    ("mit-notice", False, "released under the mit license"), ("copyright-mit", False, "copyright {c|} {1-6} released under the mit license"), ("spdx", False, "spdx license identifier {1-4}"),
+    ("mit-grant", False, "permission is hereby granted free of charge to any person obtaining a copy of {this software and associated documentation files|this software|this source file} {the software|} to deal in the software without restriction"),
+    ("mit-text", False, "permission is hereby granted free of charge to any person obtaining a copy of {this software and associated documentation files|this software|this source file} {the software|} to deal in the software without restriction "
+     "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+     "the above copyright notice and this permission notice {including the next paragraph|} shall be included in all copies or substantial portions of the software "
+     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+     "in no event shall {1-8} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd-text", False, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-2-clause", False, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+     "{1|} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+     "{2|} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+)
+
+
+def _phrases() -> str:
+    """Every way to write each wording, as SQL rows (label, base, words); * is any word."""
+    rows = set()
+    for label, base, wording in _WORDING:
+        parts = re.split(r"\{([^}]*)\}", wording)
+        options = [[" ".join("*" * n) for n in range(1, int(p[2:]) + 1)] if re.fullmatch(r"1-\d", p) else p.split("|") if i % 2 else [p] for i, p in enumerate(parts)]
+        for chosen in itertools.product(*options):
+            words = " ".join(" ".join(chosen).split())
+            version = words.split("version ")[-1][:1]
+            rows.add((label.replace("{2|3}", version), base, words))
+    return ", ".join(f"('{label}', {str(base).lower()}, '{words}')" for label, base, words in sorted(rows))
+
+
+def _firsts() -> str:
+    return ", ".join(sorted({f"'{wording.split()[0]}'" for _, _, wording in _WORDING}))
+
+
 _GAMMA = "(1.01::double / 0.99::double)"
 ORACLES: dict[str, str] = {
     "op7_adaptive_quality": f"""
@@ -136,38 +176,13 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
-    "op9_licenses": """
-WITH phrases(label, base, words) AS (VALUES
-  ('gpl', true, 'gnu general public license'), ('apache', true, 'apache license'), ('cc-by', true, 'cc by'), ('mit', true, 'mit license'),
-  ('gpl-3.0', false, 'licensed under the gnu general public license version 3'),
-  ('gpl-3.0', false, 'licensed under the gnu general public license as published by the free software foundation version 3'),
-  ('gpl-2.0', false, 'licensed under the gnu general public license version 2'),
-  ('gpl-2.0', false, 'licensed under the gnu general public license as published by the free software foundation version 2'),
-  ('apache-2.0', false, 'licensed under the apache license version 2 0'),
-  ('cc-by-4.0', false, 'licensed under cc by 4 0'), ('cc-by-4.0', false, 'licensed under a cc by 4 0'),
-  ('cc-by-4.0', false, 'licensed under creative commons cc by 4 0'), ('cc-by-4.0', false, 'licensed under a creative commons cc by 4 0'),
-  ('cc-by-nc-4.0', false, 'licensed under cc by nc 4 0'), ('cc-by-nc-4.0', false, 'licensed under a cc by nc 4 0'),
-  ('cc-by-nc-4.0', false, 'licensed under creative commons cc by nc 4 0'), ('cc-by-nc-4.0', false, 'licensed under a creative commons cc by nc 4 0'),
-  ('cc-by-sa-4.0', false, 'licensed under cc by sa 4 0'), ('cc-by-sa-4.0', false, 'licensed under a cc by sa 4 0'),
-  ('cc-by-sa-4.0', false, 'licensed under creative commons cc by sa 4 0'), ('cc-by-sa-4.0', false, 'licensed under a creative commons cc by sa 4 0'),
-  ('mit-notice', false, 'released under the mit license'),
-  ('copyright-mit', false, 'copyright * released under the mit license'), ('copyright-mit', false, 'copyright * * released under the mit license'),
-  ('copyright-mit', false, 'copyright * * * released under the mit license'), ('copyright-mit', false, 'copyright * * * * released under the mit license'),
-  ('copyright-mit', false, 'copyright * * * * * released under the mit license'), ('copyright-mit', false, 'copyright * * * * * * released under the mit license'),
-  ('copyright-mit', false, 'copyright c * * * * * * released under the mit license'),
-  ('spdx', false, 'spdx license identifier * * * *'), ('spdx', false, 'spdx license identifier * * *'), ('spdx', false, 'spdx license identifier * *'), ('spdx', false, 'spdx license identifier *'),
-  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * to deal in the software without restriction'),
-  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * to deal in the software without restriction'),
-  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * * to deal in the software without restriction'),
-  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * * * to deal in the software without restriction'),
-  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * * * * to deal in the software without restriction'),
-  ('mit-text', false, 'permission is hereby granted free of charge to any person obtaining a copy of this * * * * * * to deal in the software without restriction'),
-  ('bsd-text', false, 'redistribution and use in source and binary forms with or without modification are permitted')),
+    "op9_licenses": f"""
+WITH phrases(label, base, words) AS (VALUES {_phrases()}),
 p AS (SELECT label, base, string_split(words, ' ') AS words, string_split(words, ' ')[1] AS first FROM phrases),
 d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM documents),
-s AS (SELECT doc_id, i, w[i] AS first, w[i:i + 31] AS tail FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+s AS (SELECT doc_id, i, w[i] AS first, w[i:i + 199] AS tail FROM (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] IN ({_firsts()}))) AS i FROM d)),
 m AS (
   SELECT doc_id, label, base, i - 1 AS start, max(len(p.words)) AS n FROM s JOIN p USING (first)
   WHERE len(tail) >= len(p.words) AND list_bool_and(list_transform(p.words, lambda x, j: x = '*' OR x = tail[j])) GROUP BY ALL),
