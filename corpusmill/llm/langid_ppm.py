@@ -12,7 +12,8 @@ language, so scoring walks the trie for all bytes of a block at once and sums ex
 lengths without a loop over bytes.
 
 Learning uses a bounded sample: at most ``rows_per_lang`` texts of each language and
-``rows`` in all, of at most ``max_bytes`` bytes, chosen by a hash of doc_id. The model is
+``rows`` in all, chosen by a hash of doc_id (of the text where that is null); of a text of more than ``max_bytes``
+characters, so many from a place that the hash chooses. The model is
 broadcast; that bound is also its bound. Scoring covers every byte of every text.
 
 Defined cases: null text and text without a letter give ``und`` with score 0; rows with a null
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm import textkit as K
@@ -145,12 +147,17 @@ def learn(docs: DataFrame, may_learn: Column, cfg: PpmConfig = PpmConfig()) -> P
     texts: dict[str, list[bytes]] = {}
     if sizes:
         each = max(1, min(cfg.rows_per_lang, cfg.rows // len(sizes)))
-        draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("ppm")), F.lit(1 << 30))
+        mark = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit("ppm"))
+        draw = F.pmod(mark, F.lit(1 << 30))
         wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.5 * each / n) * (1 << 30)))) for lang, n in sorted(sizes.items())])
-        sample = rows.filter((draw < wanted) & (F.octet_length("text") <= cfg.max_bytes)).select("lang", draw.alias("draw"), F.lower("text").alias("text"))
-        for lang, _, text in sorted(sample.collect(), key=lambda r: (r[0], r[1], r[2])):
+        # of a long text a stretch of max_bytes characters at a place that the hash chooses
+        spare = F.greatest(F.length("text") - cfg.max_bytes, F.lit(0))
+        part = F.substring(F.lower("text"), (F.pmod(mark, spare + 1) + 1).cast("int"), F.lit(cfg.max_bytes))
+        sample = rows.filter(draw < wanted).select("lang", draw.alias("draw"), part.alias("text"))
+        sample = sample.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("place") <= each)
+        for lang, _, text, _ in sorted(sample.collect(), key=lambda r: (r[0], r[3])):
             own = texts.setdefault(lang, [])
-            if text and len(own) < each:
+            if text:
                 own.append(text.encode())
         texts = {k: v for k, v in texts.items() if v}
     return PpmModel(texts, cfg.order)

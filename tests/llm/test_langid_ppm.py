@@ -59,3 +59,13 @@ def test_odd_rows(spark):
     nothing = P.learn(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in P.identify(docs, nothing).collect()} == {"und"}
     assert P.identify(docs.limit(0), nothing).count() == 0
+
+
+def test_long_texts_and_rows_without_an_id_are_learnt_from(spark):
+    long = "zug wagen " * 30_000
+    rows = [(None, f"hello there friend number {i}", "en") for i in range(3000)] + [(None, long, "de"), (9, "ein zug", None), (10, "hello friend", None), (11, "bonjour", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = P.learn(docs, F.lit(True), P.PpmConfig(rows_per_lang=50))
+    assert model.langs == ["de", "en"]
+    found = {r.doc_id: r.lang_pred for r in P.identify(docs, model).filter("doc_id is not null").collect()}
+    assert found[9] == "de" and found[10] == "en"
