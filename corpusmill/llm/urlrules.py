@@ -136,5 +136,5 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
             if out:
                 yield K.batch_of(_OUT, *(list(c) for c in zip(*out, strict=True)))
 
-    ordered = events.repartition(parts, "part").sortWithinPartitions("part", "key", "kind", "path")
+    ordered = events.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "kind", "path")  # a range is a task
     return ordered.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")

@@ -39,3 +39,10 @@ def test_against_a_plain_scan(spark):
 def test_no_rules_and_no_pages(spark):
     assert judged(spark, ["http://a.org/"], []) == {0: ("a.org", "/", None, "allow")}
     assert judged(spark, [], RULES) == {}
+
+
+def test_null_ids_repeated_pages_and_long_urls(spark):
+    long = "http://www.example.org/es/" + "x" * 300_000
+    pages = spark.createDataFrame([(None, "http://org/a"), (1, long), (1, long), (2, "http://" + "a." * 5000 + "com/de/")], "page_id long, url string")
+    found = U.judge(pages, spark.createDataFrame(RULES, "host string, path string, verdict string")).collect()
+    assert sorted((r.page_id or 0, r.rule) for r in found) == [(0, "org/"), (1, "example.org/es/"), (1, "example.org/es/"), (2, "com/de/")]
