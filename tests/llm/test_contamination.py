@@ -89,3 +89,34 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     full = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert C.leaks(docs, items).count() == 0 and C.leaks(docs, full).count() == 0
+
+
+def test_rows_without_an_id_extra_columns_and_a_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    long = "filler " * 200_000 + item
+    rows = [(None, f"x {item} y", 1), (None, "clean text of no note", 2), (5, long, 3), (5, "the same id with a clean text", 4), (6, "ok", 5)]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, row long, score string")
+    listed = spark.createDataFrame([(0, item)], "item_id long, text string")
+    kept = C.without_leaks(docs, listed)
+    assert kept.columns == docs.columns and sorted(r.row for r in kept.collect()) == [2, 4, 5]
+    assert sorted((r.doc_id or 0, r.score) for r in C.leaks(docs, listed).collect()) == [(0, 1.0), (5, 1.0)]
+
+
+def test_recall_of_paraphrased_items(spark):
+    """Items with a share of their words exchanged; those that brute-force alignment finds must be found."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(2500)]
+    items = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(120)]
+    docs, want = [], {}
+    for i, x in enumerate(items):
+        share = (0.1, 0.2, 0.3)[i % 3]
+        copy = [rng.choice(vocabulary) if rng.random() < share else w for w in x]
+        text = [rng.choice(vocabulary) for _ in range(40)] + copy + [rng.choice(vocabulary) for _ in range(40)]
+        docs.append((i, " ".join(text)))
+        if plain(x, text) / len(x) >= 0.4:
+            want[i] = share
+    frame, listed = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id for r in C.leaks(frame, listed).collect() if r.doc_id == r.item_id}
+    recall = {s: np.mean([i in got for i in want if want[i] == s]) for s in (0.1, 0.2, 0.3)}
+    print(recall)
+    assert all(r >= 0.9 for r in recall.values())
