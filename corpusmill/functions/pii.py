@@ -125,3 +125,10 @@ def count_spans(texts: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(ST.StringType())
 def redact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: redacted(t or ""))
+
+
+def any_found(t: Column) -> Column:
+    """Whether any detector finds something: no digit, at sign, colon or key prefix means none can, and Python sees the rest only."""
+    prefixes = "|".join(rf"\Q{p}\E" for p in KEY_PREFIXES)
+    found = count_spans(F.when(t.rlike(rf"@|://|[0-9]{{2}}|{prefixes}"), t))
+    return sum((found[tag.lower()] for tag in TAGS), F.lit(0)) > 0

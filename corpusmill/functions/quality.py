@@ -84,7 +84,21 @@ def with_verdict(df: DataFrame, rules: QualityRules = QualityRules(), column: st
 
 
 def toxic_terms(t: Column, terms: tuple[tuple[str, str], ...] = TOXIC_TERMS) -> Column:
-    """The (term, category) pairs of a list that a text holds between ASCII word boundaries. (FLT16)"""
+    """The (term, category) pairs of a list that a text holds between ASCII word boundaries. (FLT16)
+
+    One scan of the text finds every place where a term may stand; only a text with such a place is asked for each term.
+    """
     low = T.lowered(t)
+    any_term = "|".join(rf"\Q{term}\E" for term, _ in terms)
     hits = [F.when(low.rlike(rf"(?<![a-z0-9])\Q{term}\E(?![a-z0-9])"), F.struct(F.lit(term).alias("term"), F.lit(kind).alias("category"))) for term, kind in terms]
-    return F.array_compact(F.array(*hits))
+    found = F.array_compact(F.array(*hits))
+    return F.when(low.rlike(rf"(?<![a-z0-9])(?:{any_term})(?![a-z0-9])"), found).otherwise(F.array().cast(_HITS))
+
+
+_HITS = "array<struct<term:string,category:string>>"
+
+
+def toxic(t: Column, terms: tuple[tuple[str, str], ...] = TOXIC_TERMS) -> Column:
+    """Whether a text holds a term of a list."""
+    any_term = "|".join(rf"\Q{term}\E" for term, _ in terms)
+    return T.lowered(t).rlike(rf"(?<![a-z0-9])(?:{any_term})(?![a-z0-9])")

@@ -1,4 +1,4 @@
-"""Text normalisation and measurement as Column expressions. (NRM1-12, NRM16)"""
+"""Text normalisation and measurement as Column expressions. (NRM1-12, NRM15-16)"""
 
 from __future__ import annotations
 
@@ -42,8 +42,8 @@ def canonical(t: Column) -> Column:
 
 
 def counted(t: Column, chars: str) -> Column:
-    """How many characters of a class a text has."""
-    return F.regexp_count(t, F.lit(f"[{chars}]")).cast("long")
+    """How many characters of a class a text has: what it is longer than without their runs."""
+    return (F.length(t) - F.length(F.regexp_replace(t, f"[{chars}]+", ""))).cast("long")
 
 
 def script_stats(t: Column) -> dict[str, Column]:
@@ -108,3 +108,54 @@ def dup_line_ratio(t: Column) -> tuple[Column, Column]:
     lines = F.array_remove(F.split(t, "\n"), "")
     n = F.size(lines)
     return F.when(n > 0, (n - F.size(F.array_distinct(lines))) / n).otherwise(0.0), n
+
+
+def mojibake_repaired(t: Column) -> Column:
+    """Text whose UTF-8 bytes were read as Latin-1, read again. (NRM10)
+
+    Only where at least half of the bytes beyond ASCII are such as begin a Latin-1 character's UTF-8 form, and only if every character is
+    one byte of Latin-1 and the bytes are valid UTF-8.
+    """
+    narrow = t.rlike(r"[\x{80}-\x{FF}]") & ~t.rlike(r"[^\x00-\x{FF}]")
+    # a Latin-1 character beyond ASCII is one of these lead bytes and one byte more, so half of the bytes are leads wherever all characters are narrow
+    again = F.try_validate_utf8(F.encode(F.when(narrow, t), "ISO-8859-1").cast("string"))
+    return F.coalesce(again, t)
+
+
+def human_count(n: Column) -> Column:
+    """1234 as 1.23K. (NRM16)"""
+    return _human(n.cast("double"), 1000.0, ("", "K", "M", "B", "T"), "%.0f", "%.2f")
+
+
+def human_bytes(n: Column) -> Column:
+    """2048 as 2.00 KiB. (NRM16)"""
+    return _human(n.cast("double"), 1024.0, (" B", " KiB", " MiB", " GiB", " TiB"), "%.0f", "%.2f")
+
+
+def _human(v: Column, step: float, units: tuple[str, ...], whole: str, part: str) -> Column:
+    out = F.when(v < step, F.format_string(f"{whole}{units[0]}", v))
+    for i, unit in enumerate(units[1:], 1):
+        size = v / step**i
+        out = out.when((size < step) | F.lit(i == len(units) - 1), F.format_string(f"{part}{unit}", size))
+    return out
+
+
+def human_duration(s: Column) -> Column:
+    """Seconds as 250ms, 12.5s, 3m07s, 2h05m or 1d03h. (NRM16)"""
+    n = F.floor(s).cast("long")
+    pair = lambda a, b, form: F.format_string(form, F.floor(n / a), F.floor(n % a / b))
+    return (
+        F.when(s < 1, F.format_string("%.0fms", s.cast("double") * 1000)).when(s < 60, F.format_string("%.1fs", s.cast("double")))
+        .when(s < 3600, pair(60, 1, "%dm%02ds")).when(s < 86400, pair(3600, 60, "%dh%02dm")).otherwise(pair(86400, 3600, "%dd%02dh"))
+    )
+
+
+def json_escaped(t: Column) -> Column:
+    """What stands between the quotes of a JSON string. (NRM15)"""
+    one = F.to_json(F.struct(t.alias("s")))
+    return F.substring(one, F.lit(7), F.length(one) - 8)
+
+
+def json_unescaped(t: Column) -> Column:
+    """The reverse; null for what is no JSON string. (NRM15)"""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), t, F.lit('"'))), "$", "string")

@@ -65,3 +65,25 @@ def greedy(docs: DataFrame, blocklist: DataFrame | None = None, threshold: float
     out = rows.select("id").join(state, "id", "left").join(listed.distinct().withColumn("on_list", F.lit(True)), "id", "left")
     verdict = F.coalesce(F.when(F.col("on_list"), "blocked"), F.col("verdict"), F.lit("exact_dup"))
     return out.select(F.col("id").alias("doc_id"), verdict.alias("verdict"))
+
+
+def is_duplicate(texts: DataFrame, kept: DataFrame, blocklist: DataFrame | None = None, threshold: float = 0.85) -> DataFrame:
+    """(id, duplicate) for rows (id, text), asked of documents kept so far, whose state does not change. (DED2)
+
+    A text without a canonical form, one that is on the blocklist or kept already, and one similar to a kept one or to an entry is a duplicate.
+    """
+    asked = written(signed(texts, texts.columns[0]), "asked")
+    known = signed(kept, kept.columns[0])
+    if blocklist is not None:
+        known = known.unionByName(signed(blocklist, blocklist.columns[0]))
+    known = written(known.filter("key is not null").dropDuplicates(["key"]).drop("id").withColumn("id", F.monotonically_increasing_id()), "known")
+    same = asked.join(known.select("key"), "key", "left_semi").select("id")
+    open_rows = asked.filter("key is not null").join(known.select("key"), "key", "left_anti")
+    left = open_rows.select(F.col("id").alias("a"), F.posexplode("bands").alias("band", "key"))
+    right = known.select(F.col("id").alias("b"), F.posexplode("bands").alias("band", "key"))
+    pairs = left.join(right, ["band", "key"]).select("a", "b").distinct()
+    both = pairs.join(open_rows.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(known.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
+    near = both.filter(estimate("sa", "sb") >= threshold).select(F.col("a").alias("id"))
+    empty = asked.filter("key is null").select("id")
+    hit = same.union(near).union(empty).distinct().withColumn("duplicate", F.lit(True))
+    return asked.select("id").join(hit, "id", "left").select("id", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))

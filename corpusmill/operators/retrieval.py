@@ -14,24 +14,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.store import written
 
 
 @dataclass(frozen=True)
 class Index:
-    docs: DataFrame  # id, norm, toks, len
-    postings: DataFrame  # id, term, tf
+    docs: DataFrame  # id, norm, toks, len, pairs
+    postings: DataFrame  # id, len, term, tf
     terms: DataFrame  # term, df, idf
-    avg_len: DataFrame  # one row
+    avg_len: float
 
 
 def build(questions: DataFrame) -> Index:
-    """An index of rows (id, question); of equal normalised questions the smallest id stays."""
+    """An index of rows (id, question); of equal normalised questions the smallest id stays. Its tables are written once."""
     keyed = questions.select("id", T.retrieval_key(T.text("question")).alias("norm")).filter("norm <> ''")
     docs = keyed.groupBy("norm").agg(F.min("id").alias("id")).withColumn("toks", F.split("norm", " ")).withColumn("len", F.size("toks"))
-    postings = docs.select("id", F.explode("toks").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double").alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return Index(docs, postings, terms, n.select("avg_len"))
+    docs = written(docs.withColumn("pairs", F.array_distinct(neighbours(F.col("toks")))), "questions")
+    postings = written(docs.select("id", "len", F.explode("toks").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n, avg_len = docs.agg(F.count(F.lit(1)), F.avg("len")).first()
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", (F.log(F.lit(max(n, 1) + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
+    return Index(docs, postings, written(terms, "terms"), max(avg_len or 1.0, 1.0))
+
+
+def neighbours(toks: Column) -> Column:
+    """The pairs of neighbouring words."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(toks) - 2), lambda i: F.concat_ws(" ", F.get(toks, i), F.get(toks, i + 1)))
+    return F.when(F.size(toks) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def _deletions(word: Column, most: Column) -> Column:
@@ -61,12 +69,13 @@ def fuzzy_terms(unknown: DataFrame, terms: DataFrame) -> DataFrame:
 
 def bm25(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, id, score) of every question that shares a term, or a fuzzy one, with rows (qid, norm)."""
-    asked = queries.select("qid", F.explode(F.split("norm", " ")).alias("term")).filter("term <> ''").groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
+    asked = written(queries.select("qid", F.explode(F.split("norm", " ")).alias("term")).filter("term <> ''").groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf")), "asked")
     known = asked.join(index.terms.select("term"), "term", "left_semi").select("qid", "qf", "term", F.lit(1.0).alias("weight"))
     unknown = asked.join(index.terms.select("term"), "term", "left_anti")
     loose = unknown.join(fuzzy_terms(unknown, index.terms), "term").select("qid", "qf", F.col("best").alias("term"), F.lit(0.75).alias("weight"))
-    hits = known.unionByName(loose).join(index.postings, "term").join(index.terms.select("term", "idf"), "term").join(index.docs.select("id", "len"), "id").crossJoin(F.broadcast(index.avg_len))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    used = known.unionByName(loose).join(index.terms.select("term", "idf"), "term")
+    hits = used.join(index.postings, "term")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / index.avg_len))
     return hits.groupBy("qid", "id").agg(F.sum(F.col("weight") * part * (1 + 0.1 * (F.col("qf") - 1))).alias("score"))
 
 
@@ -91,13 +100,30 @@ def query(index: Index, queries: DataFrame, top: int = 5, min_score: float = 0.0
     BM25, or twice the trigram similarity where no term matches; 0.5 for each shared pair of neighbouring words; 5 where the question holds the query.
     """
     asked = queries.select("qid", T.retrieval_key(T.text("text")).alias("norm")).filter("norm <> ''")
-    scored = bm25(index, asked)
-    silent = asked.join(scored.select("qid"), "qid", "left_anti")
+    scored = written(bm25(index, asked), "scored")
+    silent = asked.join(scored.select("qid").distinct(), "qid", "left_anti")
     loose = dice(silent, index.docs.select("id", "norm")).filter("dice >= 0.25").select("qid", "id", (2 * F.col("dice")).alias("score"))
-    all_hits = scored.unionByName(loose).join(asked.withColumnRenamed("norm", "asked"), "qid").join(index.docs.select("id", "norm", "toks"), "id")
-    pairs = lambda toks: F.transform(F.sequence(F.lit(0), F.size(toks) - 2), lambda i: F.concat_ws(" ", F.get(toks, i), F.get(toks, i + 1)))
     words = F.split("asked", " ")
-    shared = F.when((F.size(words) >= 2) & (F.size("toks") >= 2), F.size(F.filter(pairs(words), lambda p: F.array_contains(pairs(F.col("toks")), p)))).otherwise(0)
+    asked = asked.withColumnRenamed("norm", "asked").withColumn("asked_pairs", neighbours(words)).withColumn("most", 5.0 + 0.5 * F.size("asked_pairs"))
+    # no bonus lifts a question above one that is ahead by more than all bonuses together, so only those near the top need their words
+    both = scored.unionByName(loose).join(asked.select("qid", "most"), "qid")
+    ranked = both.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= top)
+    bar = ranked.groupBy("qid").agg(F.min(F.when(F.col("place") == top, F.col("score"))).alias("bar"))
+    near = both.join(bar, "qid", "left").filter(F.col("bar").isNull() | (F.col("score") + F.col("most") >= F.col("bar") - 1e-6)).select("qid", "id", "score")
+    all_hits = near.join(asked, "qid").join(index.docs.select("id", "norm", "pairs"), "id")
+    shared = F.size(F.filter("asked_pairs", lambda p: F.array_contains("pairs", p)))
     total = F.col("score") + 0.5 * shared + F.when(F.contains(F.col("norm"), F.col("asked")), 5.0).otherwise(0.0)
     ranked = all_hits.select("qid", "id", F.round(total, 6).alias("score")).filter(F.col("score") >= min_score)
     return ranked.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= top).select("qid", "rank", "id", "score")
+
+
+def grounded(index: Index, answers: DataFrame, queries: DataFrame, threshold: float = 3.0, direct: bool = True) -> DataFrame:
+    """(qid, mode, text): for each row (qid, text) the answer of its best question at the threshold or above, else nothing found. (RET3)
+
+    ``answers`` has id and answer of the indexed questions. Mode is ``direct`` with the answer itself, ``context`` with the answer as a system
+    message that goes before the user's, or ``generate`` with null text.
+    """
+    best = query(index, queries, 1, threshold).join(answers.select("id", "answer"), "id").select("qid", "answer")
+    found = queries.select("qid").distinct().join(best, "qid", "left")
+    text = F.col("answer") if direct else F.concat(F.lit("Context (from dataset): "), "answer")
+    return found.select("qid", F.when(F.col("answer").isNull(), "generate").otherwise("direct" if direct else "context").alias("mode"), text.alias("text"))

@@ -19,13 +19,23 @@ def windows(tokens: Column, size: int) -> Column:
     return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size)), lambda at: F.slice(tokens, at + 1, size))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def with_offsets(df: DataFrame, key: str, size: str, block: int = BLOCK) -> DataFrame:
-    """``df`` with start: the sum of ``size`` over all rows with a smaller ``key``."""
-    blocked = df.withColumn("_block", F.floor(F.col(key) / block))
-    sums = blocked.groupBy("_block").agg(F.sum(size).alias("_sum"))
-    before = sums.select("_block", (F.sum("_sum").over(W.orderBy("_block")) - F.col("_sum")).alias("_before"))
-    inside = F.sum(size).over(W.partitionBy("_block").orderBy(key)) - F.col(size)
-    return blocked.join(before, "_block").withColumn("start", inside + F.col("_before")).drop("_block", "_before")
+def with_offsets(df: DataFrame, key: str, size: str, block: int = BLOCK, within: str | None = None) -> DataFrame:
+    """``df`` with start: the sum of ``size`` over all rows with a smaller ``key``; with ``within``, over those of the same group.
+
+    A block is ``block`` neighbouring key values, and blocks are summed up in two levels, so that no task sees all of them.
+    """
+    group = [within] if within else []
+    blocked = df.withColumn("_block", F.floor(F.col(key) / block)).withColumn("_upper", F.floor(F.col("_block") / block))
+    sums = blocked.groupBy(*group, "_upper", "_block").agg(F.sum(size).alias("_sum"))
+    tops = sums.groupBy(*group, "_upper").agg(F.sum("_sum").alias("_all"))
+    before_top = tops.select(*group, "_upper", (F.sum("_all").over(W.partitionBy(*group).orderBy("_upper")) - F.col("_all")).alias("_low"))
+    before = sums.select(*group, "_upper", "_block", (F.sum("_sum").over(W.partitionBy(*group, "_upper").orderBy("_block")) - F.col("_sum")).alias("_before"))
+    inside = F.sum(size).over(W.partitionBy(*group, "_block").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(size)
+    out = blocked.withColumn("_inside", inside)
+    for table, keys in ((before, [*group, "_upper", "_block"]), (before_top, [*group, "_upper"])):
+        renamed = table.select(*[F.col(c).alias(f"_k{c}") if c in keys else F.col(c) for c in table.columns])
+        out = out.join(renamed, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in keys]).drop(*[f"_k{c}" for c in keys])
+    return out.withColumn("start", F.col("_inside") + F.col("_before") + F.col("_low")).drop("_block", "_upper", "_inside", "_before", "_low")
 
 
 def positions(offsets: DataFrame, key: str, size: str, every: int) -> DataFrame:
@@ -36,9 +46,8 @@ def positions(offsets: DataFrame, key: str, size: str, every: int) -> DataFrame:
 
 
 def sharded(df: DataFrame, key: str, size: str, shard_tokens: int, split: str = "split") -> DataFrame:
-    """``df`` with shard: whole rows go to the shard that their first token falls in, numbered within each split."""
-    parts = [with_offsets(df.filter(F.col(split) == s), key, size).withColumn("shard", F.floor(F.col("start") / shard_tokens)) for s in ("train", "val")]
-    return parts[0].unionByName(parts[1])
+    """``df`` with shard: whole rows go to the shard that their first token falls in, numbered within each split, null among them."""
+    return with_offsets(df, key, size, within=split).withColumn("shard", F.floor(F.col("start") / shard_tokens))
 
 
 def next_token_rows(offsets: DataFrame, tokens: str, key: str, length: int) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.functions import cleaning as N
 from corpusmill.functions import quality as Q
 from corpusmill.functions import text as T
+from corpusmill.operators.store import written
 from corpusmill.plans import oracle as O
 
 
@@ -16,13 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def curation_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality verdict, then exact duplicates of accepted texts, counted by language. (FLT1, FLT12, SET2, AGG1)"""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    judged = Q.with_verdict(docs).select("doc_id", "lang", "verdict", F.sha2(T.canonical(T.text("text")), 256).alias("key"), F.length(T.text("text")).alias("chars"))
+    """Cleaning, quality of the cleaned text, toxicity, then exact duplicates of what is accepted, counted by language. (FLT1, FLT12, FLT16, SET2, AGG1)
+
+    The judged rows are narrow and written once, so each text is read and judged once.
+    """
+    docs = N.with_cleaned(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), N.CleanRules(pii="keep"))
+    judged = Q.with_verdict(docs, column="cleaned")
+    verdict = F.when(F.col("clean_verdict") != "ok", F.concat(F.lit("clean: "), "clean_verdict")).when(F.col("verdict") != "accept", F.col("verdict")).when(Q.toxic(F.col("cleaned")), "toxic").otherwise("accept")
+    judged = written(judged.select("doc_id", "lang", verdict.alias("verdict"), F.sha2(T.canonical(F.col("cleaned")), 256).alias("key"), F.length("cleaned").cast("long").alias("chars")), "judged")
     first = judged.filter("verdict = 'accept'").groupBy("key").agg(F.min("doc_id").alias("first"))
     joined = judged.join(first, "key", "left")
-    verdict = F.when((F.col("verdict") == "accept") & (F.col("doc_id") != F.col("first")), "exact_dup").otherwise(F.col("verdict"))
-    return joined.groupBy("lang", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("docs"), F.sum("chars").cast("long").alias("chars"))
+    final = F.when((F.col("verdict") == "accept") & (F.col("doc_id") != F.col("first")), "exact_dup").otherwise(F.col("verdict"))
+    return joined.groupBy("lang", final.alias("verdict")).agg(F.count(F.lit(1)).alias("docs"), F.sum("chars").cast("long").alias("chars"))
+
+
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's cleaning verdict, personal data dropped, and a digest of the cleaned text. (FLT1)"""
+    docs = N.with_cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "clean_verdict", F.md5("cleaned").alias("digest"))
+
+
+def clean_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and bytes in and out of cleaning web pages that keep personal data, by reason. (FLT1)"""
+    return N.clean_stats(N.with_cleaned(table(spark, sf_dir, "pages"), N.CleanRules(pii="keep"), column="html"), column="html")
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +87,12 @@ def flatten_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.flattened(T.text("text")).alias("line"))
 
 
-#: Words of the synthetic tables; the default list has no hit there. Fixed values.
-INSULTS = tuple((w, "insult") for w in ("idiot", "stupid", "moron", "trash", "loser", "clown", "scum"))
+#: A second list beside the default one: common English insults.
+INSULTS = tuple((w, "insult") for w in ("idiot", "stupid", "moron", "trash", "loser", "clown", "scum", "fool", "jerk"))
 
 
 def toxicity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Q.toxic_terms(T.text("text"), Q.TOXIC_TERMS + INSULTS)
-    docs = table(spark, sf_dir, "documents").select("doc_id", found.alias("f"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", Q.toxic_terms(T.text("text"), Q.TOXIC_TERMS + INSULTS).alias("f"))
     return docs.select("doc_id", F.size("f").cast("long").alias("hits"), F.array_join(F.array_sort(F.array_distinct("f.category")), ",").alias("categories"), (F.size("f") > 0).alias("toxic"))
 
 
@@ -91,20 +108,36 @@ def label_join_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "accepted").agg(F.count(F.lit(1)).alias("docs"))
 
 
-QUERIES = {f.__name__: f for f in (curation_funnel, normalize_text, canonical_key, script_stats, quality_verdicts_default, quality_verdicts_english, quality_reasons, word_repeat_ratio, dup_line_ratio, html_strip, flatten_lines, toxicity_hits, exact_dedup, label_join_quality)}
+QUERIES = {f.__name__: f for f in (curation_funnel, clean_lines, clean_totals, normalize_text, canonical_key, script_stats, quality_verdicts_default, quality_verdicts_english, quality_reasons, word_repeat_ratio, dup_line_ratio, html_strip, flatten_lines, toxicity_hits, exact_dedup, label_join_quality)}
 
 _T = "coalesce(text, '')"
 _M = O.measured()
 _TERMS = ", ".join(f"({O.quoted(t)}, {O.quoted(k)})" for t, k in Q.TOXIC_TERMS + INSULTS)
-_ENTITIES = "t"
-for _e, _c in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "-")):
-    _ENTITIES = f"replace({_ENTITIES}, {O.quoted(_e)}, {O.quoted(_c)})"
+_PLAIN = ", ".join(f"({O.quoted(t)})" for t, _ in Q.TOXIC_TERMS)
+
+
+def _stripped(t: str) -> str:
+    out = rf"regexp_replace({t}, '<[A-Za-z/!][^>]*(>|\z)', '', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "-")):
+        out = f"replace({out}, {O.quoted(entity)}, {O.quoted(char)})"
+    return out
+
+
+_CLEAN = "CASE WHEN raw = '' THEN 'empty' WHEN length(raw) > 100000 THEN 'long' WHEN text = '' THEN 'empty' WHEN length(text) < 2 THEN 'short' ELSE 'ok' END"
 
 ORACLES = {
     "curation_funnel": f"""
-WITH j AS (SELECT doc_id, lang, total AS chars, {O.verdict(Q.QualityRules())} AS verdict, sha256({O.canonical('t')}) AS key FROM {_M}),
+WITH c AS (SELECT doc_id, lang, raw, {O.normalized(_stripped('raw'))} AS text FROM (SELECT doc_id, lang, {_T} AS raw FROM documents)),
+k AS (SELECT doc_id, lang, {_CLEAN} AS why, CASE WHEN {_CLEAN} = 'ok' THEN text ELSE '' END AS text FROM c),
+v AS (SELECT doc_id, lang, why, total AS chars, {O.verdict(Q.QualityRules())} AS verdict, EXISTS (SELECT 1 FROM (VALUES {_PLAIN}) w(term) WHERE regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')) AS toxic,
+  sha256({O.canonical('t')}) AS key FROM {O.measured('k')}),
+j AS (SELECT doc_id, lang, chars, key, CASE WHEN why <> 'ok' THEN 'clean: ' || why WHEN verdict <> 'accept' THEN verdict WHEN toxic THEN 'toxic' ELSE 'accept' END AS verdict FROM v),
 d AS (SELECT *, CASE WHEN verdict = 'accept' AND doc_id <> min(CASE WHEN verdict = 'accept' THEN doc_id END) OVER (PARTITION BY key) THEN 'exact_dup' ELSE verdict END AS v FROM j)
 SELECT lang, v AS verdict, count(*) AS docs, sum(chars)::BIGINT AS chars FROM d GROUP BY ALL""",
+    "clean_totals": f"""
+WITH c AS (SELECT raw, {O.normalized(_stripped('raw'))} AS text FROM (SELECT coalesce(html, '') AS raw FROM pages)), k AS (SELECT *, {_CLEAN} AS why FROM c)
+SELECT count(*) AS lines_in, count(*) FILTER (why = 'ok') AS lines_out, sum(strlen(raw))::BIGINT AS bytes_in, coalesce(sum(strlen(text)) FILTER (why = 'ok'), 0)::BIGINT AS bytes_out,
+  count(*) FILTER (why = 'empty') AS dropped_empty, count(*) FILTER (why = 'short') AS dropped_short, count(*) FILTER (why = 'long') AS dropped_long, 0::BIGINT AS dropped_pii, 0::BIGINT AS dropped_encoding FROM k""",
     "normalize_text": f"SELECT doc_id, {O.normalized(_T)} AS normalized FROM documents",
     "canonical_key": f"SELECT doc_id, sha256({O.canonical(_T)}) AS key FROM documents",
     "script_stats": f"SELECT doc_id, total, whitespace, arabic, latin, digits, emoji, punct, total - whitespace - arabic - latin - digits - emoji - punct AS other FROM {_M}",
@@ -113,7 +146,7 @@ SELECT lang, v AS verdict, count(*) AS docs, sum(chars)::BIGINT AS chars FROM d
     "quality_reasons": f"SELECT verdict, count(*) AS docs, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT {O.verdict(Q.QualityRules())} AS verdict FROM {_M}) GROUP BY verdict",
     "word_repeat_ratio": f"SELECT doc_id, round(CASE WHEN len(w) > 0 THEN {O.top_count('w')} / len(w) ELSE 0 END, 6) AS ratio FROM {_M}",
     "dup_line_ratio": f"SELECT doc_id, round(CASE WHEN len(lines) > 0 THEN (len(lines) - len(list_distinct(lines))) / len(lines) ELSE 0 END, 6) AS ratio, len(lines)::BIGINT AS n_lines FROM {_M}",
-    "html_strip": rf"SELECT page_id, {_ENTITIES} AS stripped FROM (SELECT page_id, regexp_replace(coalesce(html, ''), '<[A-Za-z/!][^>]*(>|\z)', '', 'g') AS t FROM pages)",
+    "html_strip": f"SELECT page_id, {_stripped("coalesce(html, '')")} AS stripped FROM pages",
     "flatten_lines": rf"SELECT doc_id, trim(translate({_T}, chr(10) || chr(13) || chr(9), '   ')) AS line FROM documents",
     "toxicity_hits": f"""
 WITH terms(term, category) AS (VALUES {_TERMS}),

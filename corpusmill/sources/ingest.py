@@ -1,17 +1,20 @@
-"""Readers: files to rows (is_chat, text, messages), corpus lines, and question-answer pairs. (SRC1-21)
+"""Readers: files to rows (is_chat, text, messages), corpus lines, and question-answer pairs. (SRC1-17, SRC21)
 
 Files are split, parsed and pruned by Spark's own sources; rows are shaped by expressions.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from corpusmill.functions import dialog as D
+from corpusmill.functions import hashing as H
 from corpusmill.functions import text as T
+from corpusmill.operators.store import written
 
 MESSAGES = "array<struct<role:string,content:string>>"
 # Fixed values.
@@ -31,18 +34,24 @@ def parquet(spark: SparkSession, path: str, match: str = "", limit: int | None =
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{match}*.[pP][aA][rR][qQ][uU][eE][tT]").option("ignoreCorruptFiles", True)
     df = reader.parquet(path)
     names = [f.name for f in df.schema if isinstance(f.dataType, (ST.StringType, ST.BinaryType))]
-    cut = lambda c: F.when(F.octet_length(c) <= value_bytes, F.col(c).cast("string")).otherwise(F.try_validate_utf8(F.substring(F.col(c).cast("binary"), 1, value_bytes).cast("string")))
+
+    def cut(name: str) -> Column:
+        # a character that the cut halves goes whole: up to three bytes less make the value valid again
+        raw = F.col(name).cast("binary")
+        tries = [F.try_validate_utf8(F.substring(raw, 1, value_bytes - n).cast("string")) for n in range(4)]
+        return F.when(F.octet_length(name) <= value_bytes, F.col(name).cast("string")).otherwise(F.coalesce(*tries, F.make_valid_utf8(F.substring(raw, 1, value_bytes).cast("string"))))
+
     out = df.select(*[F.coalesce(cut(n), F.lit("")).alias(n) for n in names])
     return out.limit(limit) if limit else out
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """(rows, columns): what footers tell; -1 rows where they can't be read. (SRC2)"""
+    """(rows, columns): the count comes from the footers alone, as no column is read; -1 rows where there is no Parquet. (SRC2)"""
     try:
         df = spark.read.option("recursiveFileLookup", True).parquet(path)
-        return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(",".join(df.columns)))
-    except Exception as e:  # an unreadable path is an answer here
-        return spark.createDataFrame([(-1, type(e).__name__)], "rows long, columns string")
+    except AnalysisException as e:  # no such path, or no Parquet in it: an answer here
+        return spark.createDataFrame([(-1, e.getCondition() or "")], "rows long, columns string")
+    return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(",".join(df.columns)))
 
 
 def _get(df: DataFrame, name: str) -> Column:
@@ -160,29 +169,53 @@ def csv_lines(spark: SparkSession, path: str, min_bytes: int = 2) -> DataFrame:
 
 
 def csv_pairs(spark: SparkSession, path: str, min_bytes: int = 2, first_id: int = 1_000_000) -> DataFrame:
-    """(id, question, answer): English or a variant with the Arabic cell; equal and repeated questions skipped. (SRC10)"""
+    """(id, question, answer): English or a variant with the Arabic cell, in the order of the files' rows; equal and repeated questions skipped, the first kept. (SRC10)"""
     df, roles = _csv(spark, path)
     named = list(zip(df.columns, roles, strict=True))
     answer = next((c for c, r in named if r == "arabic"), named[-1][0])
     asked = [c for c, r in named if r in ("variant", "english") and c != answer]
-    rows = df.select(F.explode(F.array(*[T.flattened(T.text(c)) for c in asked])).alias("question"), T.flattened(T.text(answer)).alias("answer"))
+    # a row's place: its file, and the numbers that a scan gives in order within it
+    placed = df.select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    rows = placed.select("_file", "_row", F.posexplode(F.array(*[T.flattened(T.text(c)) for c in asked])).alias("_col", "question"), T.flattened(T.text(answer)).alias("answer"))
     rows = rows.filter((F.octet_length("question") >= min_bytes) & (F.octet_length("answer") >= min_bytes) & (F.col("question") != F.col("answer")))
-    return numbered(rows.groupBy("question").agg(F.min("answer").alias("answer")), "question", first_id)
+    place = F.struct("_file", "_row", "_col")
+    first = rows.groupBy("question").agg(F.min(place).alias("_place"), F.min_by("answer", place).alias("answer"))
+    return numbered(written(first, "pairs"), "_place", first_id).select("id", "question", "answer")
 
 
 def numbered(rows: DataFrame, order: str, first_id: int) -> DataFrame:
-    """``rows`` with consecutive ids in the order of a column, counted by range and then within it."""
-    part = F.xxhash64(order) % 1024
-    sums = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sums.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
-    placed = rows.withColumn("_p", part).withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(order)))
-    return placed.join(F.broadcast(before), "_p").select((F.col("_before") + F.col("_i") - 1 + first_id).alias("id"), *rows.columns)
+    """``rows`` with consecutive ids in the order of a column: rows are dealt in ranges of it, ranges counted, and each numbered within."""
+    dealt = written(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "dealt")
+    sums = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # as many rows as ranges
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # the count within a partition
+    return dealt.join(F.broadcast(before), "_part").select((F.col("_before") + inside + first_id).alias("id"), *rows.columns)
 
 
 def qa_json(spark: SparkSession, path: str) -> DataFrame:
-    """(id, question, answer) of JSON lines or arrays; pairs with an empty side dropped. (SRC14)"""
-    rows = spark.read.schema("id string, question string, answer string").option("multiLine", True).json(path)
-    return rows.filter("coalesce(question, '') <> '' and coalesce(answer, '') <> ''")
+    """(id, question, answer) of JSON lines, arrays, or objects one after another; pairs with an empty side dropped. (SRC14)
+
+    A numeric id stays, a string becomes the FNV hash of it without its sign bit, and a row without one gets a running number. A file whose
+    first character is an opening bracket is one array and read whole; any other is read line by line.
+    """
+    first = spark.read.option("wholetext", False).text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("line")).filter("line <> ''")
+    arrays = [r.file for r in first.groupBy("file").agg(F.min_by("line", F.monotonically_increasing_id()).alias("line")).filter("startswith(line, '[')").select("file").collect()]
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"), "value")
+    if arrays:
+        lines = lines.filter(~F.col("file").isin(arrays))
+        whole = spark.read.option("wholetext", True).text(arrays).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+        whole = whole.select("file", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("row", "v"))
+    # objects that follow each other on one line
+    pieces = F.when(F.try_parse_json("value").isNotNull(), F.array("value")).otherwise(F.split("value", r"(?<=\})\s*,?\s*(?=\{)"))
+    split = lines.select("file", "row", F.posexplode(pieces).alias("at", "value"))
+    rows = split.select("file", "row", "at", F.try_parse_json("value").alias("v"))
+    if arrays:
+        rows = rows.unionByName(whole.select("file", F.col("row").cast("long").alias("row"), F.lit(0).alias("at"), "v"))
+    get = lambda k, kind: F.try_variant_get("v", f"$.{k}", kind)
+    rows = rows.select("file", "row", "at", get("id", "string").alias("_id"), F.schema_of_variant(F.try_variant_get("v", "$.id", "variant")).alias("_kind"), get("question", "string").alias("question"), get("answer", "string").alias("answer"))
+    rows = rows.filter("coalesce(question, '') <> '' and coalesce(answer, '') <> ''").withColumn("_place", F.struct("file", "row", "at"))
+    own = F.when(F.col("_kind").isin("BIGINT", "TINYINT", "SMALLINT", "INT"), F.col("_id").try_cast("long")).when(F.col("_kind") == "STRING", H.fnv_long(F.col("_id")).bitwiseAND(F.lit((1 << 63) - 1)))
+    return numbered(rows, "_place", 0).select(F.coalesce(own, F.col("id")).alias("id"), "question", "answer")
 
 
 def qa_lines(pairs: DataFrame) -> DataFrame:
