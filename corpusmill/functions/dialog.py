@@ -1,4 +1,4 @@
-"""Dialogue acts, reply discipline, and what a turn follows. (FLT19-23, WIN1, CHT1-2)"""
+"""Dialogue acts, reply discipline, and what a turn follows. (FLT21-22, WIN1, WIN9, CHT1)"""
 
 from __future__ import annotations
 
@@ -92,10 +92,24 @@ def with_context(turns: DataFrame) -> DataFrame:
     )
 
 
-def rendered(turns: DataFrame) -> DataFrame:
-    """(conv_id, rendered): marker text of each conversation. (CHT1)"""
-    one = F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("t")))), lambda x: x["t"]), "").alias("rendered"))
+def rendered(turns: DataFrame, prompt: bool = False) -> DataFrame:
+    """(conv_id, rendered): marker text of each conversation, with ``prompt`` ready for a reply. Roles other than system and assistant speak as the user. (CHT1)"""
+    role = F.when(F.col("role").isin("system", "assistant"), F.col("role")).otherwise("user")
+    one = F.concat(F.lit("<|"), role, F.lit("|>"), F.coalesce("text", F.lit("")), F.lit("<|end|>"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("t")))), lambda x: x["t"]), "")
+    return turns.groupBy("conv_id").agg(F.concat(F.lit("<s>"), told, F.lit("<|assistant|>" if prompt else "")).alias("rendered"))
+
+
+def trimmed(turns: DataFrame, most: int) -> DataFrame:
+    """The turns of (conv_id, turn, role, text) that a chat keeps: the first, and the last 2 * ``most``, from further back if those would begin with a reply. (WIN9)"""
+    whole = W.partitionBy("conv_id").orderBy("turn")
+    n = F.count(F.lit(1)).over(W.partitionBy("conv_id"))
+    at = turns.withColumn("_at", F.row_number().over(whole) - 1).withColumn("_n", n)
+    start = F.col("_n") - 2 * most
+    # the last turn at or before the start that is no reply, but never the first
+    back = F.max(F.when((F.col("_at") <= start) & (F.col("_at") >= 1) & (F.col("role") != "assistant"), F.col("_at"))).over(W.partitionBy("conv_id"))
+    keep = (F.col("_n") <= 1 + 2 * most) | (F.col("_at") == 0) | (F.col("_at") >= F.coalesce(back, F.lit(1)))
+    return at.withColumn("_keep", keep).filter("_keep").drop("_at", "_n", "_keep")
 
 
 def role_of(name: Column) -> Column:

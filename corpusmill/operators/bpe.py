@@ -1,7 +1,8 @@
 """Byte-pair encoding: distributed counts, merges on the driver, Arrow encoding. (TOK2-3, TOK5, TOK7, AGG7, AGG16)
 
-Words are counted by Spark; merging needs the distinct words only, of which the ``most`` commonest are
-taken, so the driver's work follows the vocabulary, not the corpus.
+Words are counted by Spark; merging needs the distinct words only. Up to ``driver_words`` of them are merged on the driver, which keeps pair
+counts up to date; more stay in a table, and each merge is one aggregation of it, of which the chosen pair alone reaches the driver. Both ways
+give the same merges.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from corpusmill.functions import text as T
+from corpusmill.operators.store import written
 
 #: Ids of bytes start here; smaller ones are special. Fixed value.
 FIRST_BYTE = 16
@@ -30,9 +32,12 @@ def pair_counts(counts: DataFrame) -> DataFrame:
     return counts.select("n", code.alias("code")).filter("length(code) >= 4").select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def train(counts: DataFrame, merges: int, most: int = 100_000, min_freq: int = 2, max_bytes: int = 32) -> list[tuple[int, int]]:
-    """Merges in order: the commonest pair of ids each time, the smallest of equals."""
-    words = [(tuple(b + FIRST_BYTE for b in r.word.encode()), r.n) for r in counts.filter(F.col("n") >= min_freq).orderBy(F.desc("n"), "word").limit(most).collect()]
+def train(counts: DataFrame, merges: int, min_freq: int = 2, max_bytes: int = 32, driver_words: int = 2_000_000) -> list[tuple[int, int]]:
+    """Merges in order: the commonest pair of ids each time, the smallest of equals. (TOK2, TOP6)"""
+    often = written(counts.filter(F.col("n") >= min_freq), "words")
+    if often.count() > driver_words:
+        return _train_apart(often, merges, min_freq, max_bytes)
+    words = [(tuple(b + FIRST_BYTE for b in r.word.encode()), r.n) for r in often.collect()]
     size = {FIRST_BYTE + b: 1 for b in range(256)}
     seen: Counter = Counter()
     where: dict = defaultdict(set)
@@ -73,6 +78,31 @@ def train(counts: DataFrame, merges: int, most: int = 100_000, min_freq: int = 2
     return out
 
 
+def _train_apart(often: DataFrame, merges: int, min_freq: int, max_bytes: int, every: int = 16) -> list[tuple[int, int]]:
+    """The same over a table of words, whose ids stand in text as numbers between blanks."""
+    code = F.hex(F.encode("word", "UTF-8"))
+    byte = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + FIRST_BYTE)
+    now = often.filter("octet_length(word) > 1").select("n", F.concat(F.lit(" "), F.array_join(byte, "  "), F.lit(" ")).alias("ids"))
+    size = {FIRST_BYTE + b: 1 for b in range(256)}
+    out: list[tuple[int, int]] = []
+    while len(out) < merges:
+        ids = F.split(F.btrim("ids"), "  ")
+        pairs = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: F.struct(F.get(ids, i).cast("int").alias("a"), F.get(ids, i + 1).cast("int").alias("b")))
+        seen = now.filter(F.size(ids) >= 2).select("n", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_freq)
+        wide = [t for t, n in size.items() if n > 1]
+        length = lambda c: F.coalesce(F.create_map(*[F.lit(x) for t in wide for x in (t, size[t])])[F.col(c)], F.lit(1)) if wide else F.lit(1)
+        top = seen.filter(length("a") + length("b") <= max_bytes).agg(F.max(F.struct("n", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("t")).first().t
+        if top is None:
+            break
+        a, b, new = -top.a, -top.b, FIRST_BYTE + 256 + len(out)
+        size[new] = size[a] + size[b]
+        out.append((a, b))
+        now = now.withColumn("ids", F.regexp_replace("ids", rf" {a}  {b} ", f" {new} "))
+        if len(out) % every == 0:
+            now = written(now, "merged")
+    return out
+
+
 class Encoder:
     """Applies merges by rank, the leftmost first, with a cache of words."""
 

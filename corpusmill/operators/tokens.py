@@ -1,4 +1,4 @@
-"""Token windows, offsets, shards and packing. (WIN5-7, SNK1-2, PCK1-4, JN7, AGG19, FLT24)
+"""Token windows, offsets, shards and packing. (WIN5-7, SNK2, PCK2, JN7, AGG19)
 
 Positions over a whole table come from two sums: one over blocks of ids, of which there are few, and one
 within each block. No task sees more than a block.

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chars as C
+from corpusmill.functions import cleaning as N
 from corpusmill.functions import dialog as D
 from corpusmill.functions import langid as L
 from corpusmill.functions import pii as P
 from corpusmill.functions import quality as Q
+from corpusmill.functions import style as Y
 from corpusmill.functions import text as T
 from corpusmill.plans import oracle as O
-from corpusmill.plans.curation import table
+from corpusmill.plans.curation import _stripped, table
 
 
 def langid_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,15 +59,40 @@ def reply_discipline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", D.dialog_act(F.col("last_user")).alias("act"), reason.alias("reason"), (reason == "ok").alias("disciplined"))
 
 
+def gated(turns: DataFrame, mode: str = "en", rules: N.CleanRules = N.CleanRules()) -> DataFrame:
+    """(conv_id, turns, verdict): a conversation's first failing message decides. (FLT26)
+
+    In two passes, as a message that can't be cleaned or fails the quality rules drops the whole conversation before toxicity, personal data and
+    style are asked. In ``en``, replies with hard boilerplate or a bad multiple-choice format go and personal data is redacted later; in ``darija``,
+    robotic replies go, and so does what still holds personal data.
+    """
+    cleaned = N.with_cleaned(turns, rules)
+    judged = Q.with_verdict(cleaned, Q.ENGLISH if mode == "en" else Q.QualityRules(), column="cleaned")
+    first = F.when((F.col("clean_verdict") != "ok") | (F.octet_length("cleaned") < 2), "clean").when(F.col("verdict") != "accept", F.col("verdict"))
+    rows = D.with_context(judged.withColumn("first", first).withColumn("text", F.col("cleaned")))
+    if mode == "en":
+        robotic = Y.hard_boilerplate(F.col("text")) | (D.reply_reason(F.col("last_user"), F.col("text")) == "bad-mc-format")
+    else:
+        rows = Y.with_style(rows)
+        robotic = F.col("robotic")
+    second = F.when(Q.toxic(F.col("text")), "toxic")
+    if mode != "en":
+        second = second.when(P.any_found(F.col("text")), "pii")
+    second = second.when((F.col("role") == "assistant") & robotic, "robotic")
+    at = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("turn")))
+    return rows.withColumn("second", second).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.coalesce(at("first"), at("second"), F.lit("accept")).alias("verdict"))
+
+
 def chat_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's first failing message decides. (FLT26)"""
-    judged = Q.with_verdict(D.with_context(_turns(spark, sf_dir)), Q.ENGLISH)
-    toxic = F.size(Q.toxic_terms(F.col("text"))) > 0
-    reply = F.when(F.col("role") == "assistant", D.reply_reason(F.col("last_user"), F.col("text"))).otherwise("ok")
-    verdict = F.when(F.col("verdict") != "accept", F.col("verdict")).when(toxic, "toxic").when(reply != "ok", reply)
-    return judged.withColumn("bad", verdict).groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("turns"), F.coalesce(F.min_by("bad", F.when(F.col("bad").isNotNull(), F.col("turn"))), F.lit("accept")).alias("verdict")
-    )
+    """The English gate; personal data is left to redaction. (FLT26)"""
+    return gated(_turns(spark, sf_dir), "en", N.CleanRules(pii="keep"))
+
+
+def reply_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate, bullets and robotic style of replies, and their connectives. (FLT19, FLT20, FLT23)"""
+    turns = Y.with_style(D.with_context(_turns(spark, sf_dir)).filter("role = 'assistant'"))
+    words = [c.alias(k) for k, c in Y.connectors(F.col("text")).items()]
+    return turns.select("conv_id", "turn", "boilerplate", Y.hard_boilerplate(F.col("text")).alias("hard"), "bullets", "too_many_bullets", *words)
 
 
 def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +104,7 @@ def role_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("role", D.role_of(F.col("role")).alias("mapped")).groupBy("role", "mapped").agg(F.count(F.lit(1)).alias("turns"))
 
 
-QUERIES = {f.__name__: f for f in (langid_tags, langid_confusion, pii_counts, pii_totals, pii_redact, dialog_acts, prev_user_turn, reply_discipline, chat_gate, chat_render, role_alias_map)}
+QUERIES = {f.__name__: f for f in (langid_tags, langid_confusion, pii_counts, pii_totals, pii_redact, dialog_acts, prev_user_turn, reply_discipline, chat_gate, reply_style, chat_render, role_alias_map)}
 
 
 def _in(words: tuple[str, ...]) -> str:
@@ -142,6 +169,17 @@ _REPLIES = f"(SELECT *, {_REASON} AS reason FROM (SELECT *, {_act('last_user', '
 _TERMS = ", ".join(f"({O.quoted(t)})" for t, _ in Q.TOXIC_TERMS)
 _OCTET = "(25[0-5]|2[0-4][0-9]|[01][0-9][0-9]|[0-9][0-9]?)"
 
+
+
+def _said(t: str, phrases: tuple[str, ...]) -> str:
+    return O.holds_any(O.normalized(t, True), tuple(Y.folded(p) for p in phrases))
+
+
+_WORDS = f"len(regexp_extract_all({O.lowered(O.normalized('prev_text', True))}, '({L.WORD})'))"
+_COUNTED = ", ".join(
+    f"len(regexp_extract_all(regexp_replace(low, '([^A-Za-z0-9_])', '\\1\\1', 'g'), '(^|[^A-Za-z0-9_])({'|'.join(w.replace(' ', '  ') for w in words)})($|[^A-Za-z0-9_])'))::BIGINT AS {kind}" for kind, words in D.CONNECTORS.items()
+)
+
 ORACLES = {
     "langid_tags": f"""SELECT doc_id, {_TAG} AS lang_tag, round({_SURE}, 6)::double AS confidence, round((dar + dlt) / n1, 6) AS darija_score, round(msa / n1, 6) AS msa_score,
       round(fr / n1, 6) AS french_score, round(en / n1, 6) AS english_score, round(az / n1, 6) AS arabizi_score FROM {_LANG}""",
@@ -158,12 +196,16 @@ FROM (SELECT doc_id, t, regexp_replace(t, '([^A-Za-z0-9])', '\1\1', 'g') AS d FR
     "prev_user_turn": f"SELECT conv_id, turn, role, last_user, prev_text FROM {_CONV}",
     "reply_discipline": f"SELECT conv_id, turn, act, reason, reason = 'ok' AS disciplined FROM {_REPLIES} WHERE role = 'assistant'",
     "chat_gate": f"""
-WITH m AS (SELECT *, {O.verdict(Q.ENGLISH)} AS verdict FROM {O.measured(f'(SELECT * EXCLUDE (low) FROM {_REPLIES})')}),
-b AS (SELECT conv_id, turn, CASE WHEN verdict <> 'accept' THEN verdict
-  WHEN EXISTS (SELECT 1 FROM (VALUES {_TERMS}) v(term) WHERE regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')) THEN 'toxic'
-  WHEN role = 'assistant' AND reason <> 'ok' THEN reason END AS bad FROM m)
-SELECT conv_id, count(*) AS turns, coalesce(min_by(bad, turn) FILTER (bad IS NOT NULL), 'accept') AS verdict FROM b GROUP BY conv_id""",
-    "chat_render": "SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id",
+WITH c AS (SELECT conv_id, turn, role, {O.normalized(_stripped("coalesce(text, '')"))} AS text FROM conversations),
+m AS (SELECT *, {O.verdict(Q.ENGLISH)} AS verdict, {_said('t', Y.HARD)} AS hard FROM {O.measured(f"(SELECT * EXCLUDE (low) FROM {_REPLIES.replace('FROM conversations WINDOW', 'FROM c WINDOW')})")}),
+b AS (SELECT conv_id, turn, CASE WHEN strlen(t) < 2 THEN 'clean' WHEN verdict <> 'accept' THEN verdict END AS a,
+  CASE WHEN EXISTS (SELECT 1 FROM (VALUES {_TERMS}) v(term) WHERE regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')) THEN 'toxic'
+  WHEN role = 'assistant' AND (hard OR reason = 'bad-mc-format') THEN 'robotic' END AS b FROM m)
+SELECT conv_id, count(*) AS turns, coalesce(min_by(a, turn) FILTER (a IS NOT NULL), min_by(b, turn) FILTER (b IS NOT NULL), 'accept') AS verdict FROM b GROUP BY conv_id""",
+    "reply_style": f"""
+SELECT conv_id, turn, {_said('text', Y.BOILERPLATE)} AS boilerplate, {_said('text', Y.HARD)} AS hard, bullets, {_WORDS} <= 20 AND bullets > 3 AS too_many_bullets, {_COUNTED}
+FROM (SELECT *, len(regexp_extract_all(text, '\\n[ \\t]*([-*]|[1-9][.)])'))::BIGINT AS bullets FROM {_REPLIES} WHERE role = 'assistant')""",
+    "chat_render": "SELECT conv_id, '<s>' || string_agg('<|' || CASE WHEN role IN ('system', 'assistant') THEN role ELSE 'user' END || '|>' || coalesce(text, '') || '<|end|>', '' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id",
     "role_alias_map": "SELECT role, CASE lower(role) "
     + " ".join(f"WHEN '{a}' THEN '{r}'" for a, r in D.ROLE_ALIASES.items())
     + " END AS mapped, count(*) AS turns FROM conversations GROUP BY ALL",

@@ -198,15 +198,16 @@ def qa_json(spark: SparkSession, path: str) -> DataFrame:
     A numeric id stays, a string becomes the FNV hash of it without its sign bit, and a row without one gets a running number. A file whose
     first character is an opening bracket is one array and read whole; any other is read line by line.
     """
-    first = spark.read.option("wholetext", False).text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("line")).filter("line <> ''")
-    arrays = [r.file for r in first.groupBy("file").agg(F.min_by("line", F.monotonically_increasing_id()).alias("line")).filter("startswith(line, '[')").select("file").collect()]
+    first = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"), F.trim("value").alias("line")).filter("line <> ''")
+    arrays = [r.file for r in first.groupBy("file").agg(F.min_by("line", "row").alias("line")).filter("startswith(line, '[')").select("file").collect()]  # file names only
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"), "value")
     if arrays:
         lines = lines.filter(~F.col("file").isin(arrays))
-        whole = spark.read.option("wholetext", True).text(arrays).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+        whole = spark.read.text(arrays, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
         whole = whole.select("file", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("row", "v"))
     # objects that follow each other on one line
-    pieces = F.when(F.try_parse_json("value").isNotNull(), F.array("value")).otherwise(F.split("value", r"(?<=\})\s*,?\s*(?=\{)"))
+    apart = F.split("value", r"(?<=\})\s*,?\s*(?=\{)")
+    pieces = F.when(F.forall(apart, lambda p: F.try_parse_json(p).isNotNull()), apart).otherwise(F.array("value"))
     split = lines.select("file", "row", F.posexplode(pieces).alias("at", "value"))
     rows = split.select("file", "row", "at", F.try_parse_json("value").alias("v"))
     if arrays:
