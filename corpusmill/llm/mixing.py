@@ -252,7 +252,8 @@ def calibrated(members: DataFrame, targets: dict[str, DataFrame] | None = None,
         mass = np.array([c["mass"] for c in rows], float)
         ratio = _raked_here(rows, {name: {r["value"]: r["share"] for r in t.collect()} for name, t in wanted.items()}, cfg) / mass
         p = _probabilities(ratio, mass, cfg.budget)
-        return spark.createDataFrame([(*(c[m] for m in MARGINS), round(float(w), 9), round(float(q), 9)) for c, w, q in zip(rows, ratio, p, strict=True)], schema)
+        known = [(*(c[m] for m in MARGINS), round(float(w), 9), round(float(q), 9)) for c, w, q in zip(rows, ratio, p, strict=True)]
+        return F.broadcast(spark.createDataFrame(known, schema))  # driver_cells rows at most
     fitted = _raked_apart(cells, wanted, cfg).withColumn("ratio", F.col("fitted") / F.col("mass"))
     goal = cfg.budget * fitted.filter("ratio > 0").agg(F.sum("mass")).first()[0]
     limit = None  # cells with a ratio from here on are at 1
