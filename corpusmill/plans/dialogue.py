@@ -99,12 +99,22 @@ def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.rendered(table(spark, sf_dir, "conversations"))
 
 
+def chat_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns that a chat of one exchange of history keeps. (WIN9)"""
+    return D.trimmed(table(spark, sf_dir, "conversations"), 1).select("conv_id", "turn")
+
+
+def reply_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script that each user writes in. (CHT3)"""
+    return _turns(spark, sf_dir).filter("role = 'user'").select("conv_id", "turn", Y.reply_script(F.col("text")).alias("script"))
+
+
 def role_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return turns.select("role", D.role_of(F.col("role")).alias("mapped")).groupBy("role", "mapped").agg(F.count(F.lit(1)).alias("turns"))
 
 
-QUERIES = {f.__name__: f for f in (langid_tags, langid_confusion, pii_counts, pii_totals, pii_redact, dialog_acts, prev_user_turn, reply_discipline, chat_gate, reply_style, chat_render, role_alias_map)}
+QUERIES = {f.__name__: f for f in (langid_tags, langid_confusion, pii_counts, pii_totals, pii_redact, dialog_acts, prev_user_turn, reply_discipline, chat_gate, reply_style, chat_render, chat_trim, reply_scripts, role_alias_map)}
 
 
 def _in(words: tuple[str, ...]) -> str:
@@ -206,6 +216,11 @@ SELECT conv_id, count(*) AS turns, coalesce(min_by(a, turn) FILTER (a IS NOT NUL
 SELECT conv_id, turn, {_said('text', Y.BOILERPLATE)} AS boilerplate, {_said('text', Y.HARD)} AS hard, bullets, {_WORDS} <= 20 AND bullets > 3 AS too_many_bullets, {_COUNTED}
 FROM (SELECT *, len(regexp_extract_all(text, '\\n[ \\t]*([-*]|[1-9][.)])'))::BIGINT AS bullets FROM {_REPLIES} WHERE role = 'assistant')""",
     "chat_render": "SELECT conv_id, '<s>' || string_agg('<|' || CASE WHEN role IN ('system', 'assistant') THEN role ELSE 'user' END || '|>' || coalesce(text, '') || '<|end|>', '' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id",
+    "chat_trim": """
+WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+b AS (SELECT *, coalesce(max(CASE WHEN i <= n - 2 AND i >= 1 AND role <> 'assistant' THEN i END) OVER (PARTITION BY conv_id), 1) AS since FROM t)
+SELECT conv_id, turn FROM b WHERE n <= 3 OR i = 0 OR i >= since""",
+    "reply_scripts": f"""SELECT conv_id, turn, CASE WHEN {O.counted("coalesce(text, '')", C.ARABIC_LETTER + C.ARABIC_MARK)} >= {O.counted("coalesce(text, '')", C.LATIN)} THEN 'arabic' ELSE 'latin' END AS script FROM conversations WHERE role = 'user'""",
     "role_alias_map": "SELECT role, CASE lower(role) "
     + " ".join(f"WHEN '{a}' THEN '{r}'" for a, r in D.ROLE_ALIASES.items())
     + " END AS mapped, count(*) AS turns FROM conversations GROUP BY ALL",

@@ -106,7 +106,11 @@ fuzzy AS (
   JOIN (SELECT term AS cand, idf FROM terms WHERE strlen(term) <= 15) t ON abs(strlen(term) - strlen(cand)) <= 2
   WHERE levenshtein(term, cand) <= CASE WHEN strlen(term) <= 4 THEN 1 ELSE 2 END GROUP BY term)"""
 
+_SPLIT = f"(SELECT doc_id, CASE WHEN k <> '' THEN k ELSE t END AS t FROM (SELECT doc_id, coalesce(text, '') AS t, {O.canonical('coalesce(text, ' + chr(39) * 2 + ')')} AS k FROM documents))"
+
+
 ORACLES = {
+    "train_val_split": f"SELECT doc_id, CASE WHEN {_FNV.replace('{t}', 't')} % 10000 < 500 THEN 'val' ELSE 'train' END AS split FROM {_SPLIT}",
     "hash_fnv": f"SELECT conv_id, turn, lower(lpad(hex({_FNV.replace('{t}', 't')}), 16, '0')) AS fnv FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)",
     "bm25_idf": f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "fuzzy_terms": f"WITH {_INDEX} SELECT term, best FROM fuzzy",

@@ -228,9 +228,40 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(k).alias("with_k"), F.sum(k).alias("sum_k"), F.max(k).alias("max_k"))
 
 
+def vec_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two experts that each vector's first eight numbers choose. (VEC9, TOP4)"""
+    picked = _vectors(spark, sf_dir).select("vec_id", F.posexplode(V.router(F.slice("v", 1, 8), 2)).alias("rank", "p"))
+    return picked.select("vec_id", F.col("rank").cast("long").alias("rank"), F.col("p.expert").cast("long").alias("expert"), F.round("p.weight", 6).alias("weight"))
+
+
+def expert_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each expert is chosen. (AGG21)"""
+    picked = _vectors(spark, sf_dir).select(V.router(F.slice("v", 1, 8), 2).alias("picked"))
+    return V.expert_load(picked, 8).select(F.col("expert").cast("long").alias("expert"), "slots", F.round("share", 6).alias("share"), F.round("balance", 6).alias("balance"))
+
+
+def vec_rope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector turned by its place. (VEC6)"""
+    turned = V.rope(F.col("v"), (F.col("vec_id") % 16).cast("double"))
+    return _vectors(spark, sf_dir).select("vec_id", F.transform(turned, lambda x: F.round(x, 5) + 0.0).alias("turned"))
+
+
+def vec_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sums of each vector as a matrix product. (VEC2)"""
+    weights = [[1.0] * 64, [float(i % 2) for i in range(64)], [i / 64 for i in range(64)]]
+    return _vectors(spark, sf_dir).select("vec_id", F.transform(V.linear(F.col("v"), weights), lambda x: F.round(x, 5)).alias("out"))
+
+
+def vec_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest error of half precision over each vector, in its last steps. (VEC15)"""
+    halves = F.transform("v", lambda x: V.half(x))
+    return _vectors(spark, sf_dir).select("vec_id", F.forall(F.arrays_zip(F.col("v").alias("v"), halves.alias("h")), lambda p: F.abs(p["v"] - p["h"]) <= F.abs(p["v"]) / 2048 + 3e-8).alias("close"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        vec_router, expert_load, vec_rope, vec_linear, vec_half,
         corpus_stats, length_quantiles, lang_mix, domain_mix, distinct_n, max_ngram_repeat, ngram_df, eval_scores, eval_by_category, window_split, doc_offsets, position_to_doc,
         shard_inventory, pack_rows, sample_per_lang, bpe_pair_counts, bpe_fertility, vec_dot_cosine, vec_rmsnorm, vec_softmax_topk, vec_argmax, vec_q8_error, lr_schedule, ema_loss, json_props,
     )
@@ -265,7 +296,18 @@ def _scores() -> str:
         FROM (SELECT *, {O.lowered('text')} AS tlow, {_W.replace('{t}', 'text')} AS w FROM {_REPLIES} WHERE role = 'assistant')))"""
 
 
+_PICKED = f"""(SELECT vec_id, i - 1 AS expert, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) - 1 AS rank
+  FROM (SELECT vec_id, i, exp(v[i] - list_max(v[1:8])) / list_sum(list_transform(v[1:8], lambda x: exp(x - list_max(v[1:8])))) AS p FROM (SELECT vec_id, v, unnest(range(1, 9)) AS i FROM {_VEC})) QUALIFY rank < 2)"""
+
+
 ORACLES = {
+    "vec_router": f"SELECT vec_id, rank, expert, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS weight FROM {_PICKED}",
+    "expert_load": f"""SELECT e AS expert, coalesce(n, 0) AS slots, round(coalesce(n, 0) / t, 6) AS share, round(8 * sum((coalesce(n, 0) / t) ** 2) OVER (), 6) AS balance
+FROM (SELECT unnest(range(8)) AS e) LEFT JOIN (SELECT expert AS e, count(*) AS n FROM {_PICKED} GROUP BY expert) USING (e), (SELECT count(*) AS t FROM {_PICKED})""",
+    "vec_rope": f"""SELECT vec_id, list_transform(range(1, 65), lambda j: round(CASE WHEN j % 2 = 1 THEN v[j] * cos(p * 10000 ** (-(j - 1) / 64)) - v[j + 1] * sin(p * 10000 ** (-(j - 1) / 64))
+  ELSE v[j - 1] * sin(p * 10000 ** (-(j - 2) / 64)) + v[j] * cos(p * 10000 ** (-(j - 2) / 64)) END, 5) + 0.0::DOUBLE) AS turned FROM (SELECT vec_id, v, (vec_id % 16)::DOUBLE AS p FROM {_VEC})""",
+    "vec_linear": f"SELECT vec_id, [round(list_sum(v), 5), round(list_sum(list_transform(range(1, 65), lambda i: v[i] * ((i - 1) % 2))), 5), round(list_sum(list_transform(range(1, 65), lambda i: v[i] * (i - 1) / 64)), 5)] AS out FROM {_VEC}",
+    "vec_half": "SELECT vec_id, true AS close FROM embeddings",
     "corpus_stats": rf"""
 SELECT count(*) AS docs, sum(strlen(t))::BIGINT AS bytes, sum(total)::BIGINT AS chars, sum(len(w))::BIGINT AS words, sum(length(t) - length(replace(t, chr(10), '')) + 1)::BIGINT AS lines,
   count(*) FILTER (arabic / greatest(arabic + latin, 1) > 0.6) AS arabic_docs, count(*) FILTER (latin / greatest(arabic + latin, 1) > 0.6) AS latin_docs, count(*) FILTER (emoji > 0) AS emoji_docs,

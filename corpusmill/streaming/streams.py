@@ -24,7 +24,11 @@ def accepted(stream: DataFrame, rules: Q.QualityRules = Q.QualityRules()) -> Dat
 
 
 def deduplicated(stream: DataFrame, within: str | None = None) -> DataFrame:
-    """The first document of each canonical text; with ``within`` (of a watermarked ``ts``) the state is bounded."""
+    """The first document of each canonical text. (STR2)
+
+    With ``within`` (of a watermarked ``ts``) the state is bounded; without it every key is kept for good, as duplicates may come at any time: a
+    stream that goes on for long should set it, or use a state store on disk.
+    """
     keyed = stream.withColumn("key", F.sha2(T.canonical(T.text("text")), 256))
     if within:
         return keyed.withWatermark("ts", within).dropDuplicatesWithinWatermark(["key"])
