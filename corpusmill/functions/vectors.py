@@ -31,6 +31,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-30))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """To so many decimal digits as SQL engines in C do: halves of the scaled double away from zero, and the sign of a zero stays."""
+    power = 10.0**digits
+    scaled = x * power
+    size = F.abs(scaled)
+    whole = F.floor(size).cast("double")
+    near = F.when(size - whole >= 0.5, whole + 1.0).otherwise(whole)
+    # doubles from 2 to the 52 on are whole numbers, and floor's range ends at 64 bits
+    out = F.when((size >= 2.0**52) | (size == whole), scaled).when(scaled < 0, -near).otherwise(near) / power
+    return F.when(size < float("inf"), out).otherwise(x)
+
+
 def axpy(alpha: float, x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda u, v: u * alpha + v)
 
@@ -168,14 +180,17 @@ def brain_half(x: pd.Series) -> pd.Series:
 
 
 def linear(x: Column, weights: list[list[float]], bias: list[float] | None = None) -> Column:
-    """A matrix, row by row, times a vector, in whole Arrow batches. (VEC2)"""
+    """A matrix, row by row, times a vector, in whole Arrow batches; products are summed in their order, whatever the batch. (VEC2)"""
     matrix = np.array(weights, np.float64)
 
     def run(batch: pd.Series) -> pd.Series:
         if not len(batch):
             return batch
-        out = np.stack(batch.to_list()).astype(np.float64) @ matrix.T + (0 if bias is None else np.array(bias))
-        return pd.Series(list(out), index=batch.index)
+        rows = np.stack(batch.to_list()).astype(np.float64)
+        out = np.zeros((len(rows), len(matrix)))
+        for column, weight in zip(rows.T, matrix.T, strict=True):
+            out += column[:, None] * weight
+        return pd.Series(list(out + (0 if bias is None else np.array(bias))), index=batch.index)
 
     return F.pandas_udf(run, "array<double>")(x)
 

@@ -249,7 +249,7 @@ def vec_rope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sums of each vector as a matrix product. (VEC2)"""
     weights = [[1.0] * 64, [float(i % 2) for i in range(64)], [i / 64 for i in range(64)]]
-    return _vectors(spark, sf_dir).select("vec_id", F.transform(V.linear(F.col("v"), weights), lambda x: F.round(x, 5)).alias("out"))
+    return _vectors(spark, sf_dir).select("vec_id", F.transform(V.linear(F.col("v"), weights), lambda x: V.rounded(x, 5)).alias("out"))
 
 
 def vec_half(spark: SparkSession, sf_dir: str) -> DataFrame:
