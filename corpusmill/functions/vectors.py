@@ -49,8 +49,9 @@ def axpy(alpha: float, x: Column, y: Column) -> Column:
 
 def rmsnorm(x: Column, eps: float = 1e-6) -> Column:
     """Divided by the root mean square; what is not finite becomes 0."""
-    scale = F.sqrt(dot(x, x) / F.size(x) + eps)
-    return F.transform(x, lambda v: F.when(F.isnan(v / scale) | (F.abs(v / scale) == float("inf")), 0.0).otherwise(v / scale))
+    scale = F.array(F.sqrt(dot(x, x) / F.size(x) + eps))  # an array of one, so that it is worked out once a vector
+    divided = F.flatten(F.transform(scale, lambda s: F.transform(x, lambda v: v / s)))
+    return F.transform(divided, lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v))
 
 
 def softmax(x: Column) -> Column:

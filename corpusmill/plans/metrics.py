@@ -193,7 +193,7 @@ def vec_dot_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_rmsnorm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("vec_id", F.transform(V.rmsnorm(F.col("v")), lambda x: F.round(x, 5)).alias("normed"))
+    return _vectors(spark, sf_dir).select("vec_id", F.transform(V.rmsnorm(F.col("v")), lambda x: V.rounded(x, 5)).alias("normed"))
 
 
 def vec_softmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def small_sums():
     return rows
 
 
-@pytest.mark.parametrize(("name", "column"), [("vec_linear", "out")])
+@pytest.mark.parametrize(("name", "column"), [("vec_linear", "out"), ("vec_rmsnorm", "normed")])
 def test_signs_of_zeros_match_sql(spark, tmp_path, name, column):
     rows = small_sums()
     table = pa.table({"vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": pa.array(list(rows), pa.list_(pa.float32())), "label": pa.array([0] * len(rows), pa.int32())})
@@ -62,3 +62,9 @@ def test_products_do_not_depend_on_the_batch(spark):
         want.append(sums)
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows.tolist())], "i long, v array<double>").repartition(3)
     assert [r.out for r in df.select("i", V.linear(F.col("v"), weights).alias("out")).orderBy("i").collect()] == want
+
+
+def test_rmsnorm_of_what_is_not_finite(spark):
+    rows = [([3.0, float("nan")],), ([1e200, 1.0],), ([1.0, None],), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v array<double>").select(V.rmsnorm(F.col("v"))).collect()]
+    assert got == [[0.0, 0.0], [0.0, 0.0], [None, None], None]
