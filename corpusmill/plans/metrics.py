@@ -12,6 +12,7 @@ from corpusmill.functions import quality as Q
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
 from corpusmill.operators import bpe, tokens
+from corpusmill.operators.store import written
 from corpusmill.plans import oracle as O
 from corpusmill.plans.curation import table
 from corpusmill.plans.dialogue import _TERMS, _turns
@@ -174,10 +175,16 @@ def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens per word and bytes per token by language, after 300 merges. (AGG16)"""
-    merges = bpe.train(bpe.word_counts(table(spark, sf_dir, "documents")), 300)
-    docs = table(spark, sf_dir, "documents").select("lang", T.words(T.text("text")).alias("w"))
-    sized = docs.select("lang", F.size("w").alias("words"), F.octet_length(F.array_join("w", "")).alias("bytes"), F.size(bpe.encoded(F.col("w"), merges)).alias("tokens"))
-    return sized.groupBy("lang").agg(F.round(F.sum("tokens") / F.sum("words"), 6).alias("tokens_per_word"), F.round(F.sum("bytes") / F.sum("tokens"), 6).alias("bytes_per_token"))
+    every = table(spark, sf_dir, "documents").select("lang", F.explode_outer(T.words(T.text("text"))).alias("word"))
+    counts = written(every.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "lang-words")  # each word is encoded once a language
+    merges = bpe.train(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), 300)
+    sized = bpe.sizes(counts, merges).filter("word is not null").groupBy("lang").agg(
+        F.sum(F.col("n") * F.col("ids")).alias("ids"), F.sum("n").alias("words"), F.sum(F.col("n") * F.octet_length("word")).alias("bytes")
+    )
+    every_lang = counts.select("lang").distinct()  # null for a language without a word
+    return every_lang.join(sized, every_lang["lang"].eqNullSafe(sized["lang"]), "left").select(
+        every_lang["lang"], F.round(F.try_divide("ids", "words"), 6).alias("tokens_per_word"), F.round(F.try_divide("bytes", "ids"), 6).alias("bytes_per_token")
+    )
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
