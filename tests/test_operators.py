@@ -65,6 +65,21 @@ def test_greedy_dedup_matches_a_loop(spark):
     assert {r.doc_id: r.verdict for r in dedup.greedy(docs, listed).collect()} == greedy(rows, block=block)
 
 
+def test_greedy_dedup_broadcasts_no_table_of_documents_or_pairs(spark, monkeypatch):
+    plans = {}
+
+    def spied(df, name, of=dedup.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return of(df, name)
+
+    monkeypatch.setattr(dedup, "written", spied)
+    docs = spark.createDataFrame([(i, f"words {i % 3} of text {i % 5}") for i in range(20)], "doc_id long, text string")
+    plans["out"] = dedup.greedy(docs, docs.limit(1))._jdf.queryExecution().executedPlan().toString()
+    assert {name for name, plan in plans.items() if "SortMergeJoin" in plan} >= {"pairs", "state", "new", "out"}
+    assert not [name for name in ("pairs", "state", "new") if "Broadcast" in plans[name]]
+    assert plans["out"].count("BroadcastHashJoin") <= 1  # the blocklist's
+
+
 def test_one_changed_token_is_contamination(spark):
     a = " ".join(f"token{i}" for i in range(100))
     b = a.replace("token50", "other50")
